@@ -11,20 +11,26 @@ same place.  Two equal windows therefore show up as two sample suffixes that
 agree to the right, and whose left extensions agree as far as the window
 starts.
 
-1. Documents are dealt into batches once.  Each batch sends the hashes of its
-   seeds, packed by hash range; hashes met twice are sent back to their batches.
-2. Batches send the suffixes behind those seeds with their left contexts.  Per
-   seed they form an enhanced suffix array; a stack scan of its common-prefix
-   lengths lists the interval tree, and inside each interval the members,
-   sorted by what stands to their left, are scanned for left-extension
-   diversity.  What comes out are maximal repeats (left reach, right reach)
-   with *all* occurrences; all but the earliest are marked.
-3. Batches turn marked windows into removed runs.
-
-Equal contexts collapse to their earliest occurrence before they are sent.  A
-seed with more than ``HOT`` occurrences is not sent to one task: its windows
-are hashed whole, one by one, and their earliest occurrences found by hash
-range, again with one row per batch and window.  That is exact as well.
+Documents are dealt into compressed batches once; every round below is one
+exchange of packed arrays, one row per batch and hash range, and the answers
+go back to the batches they concern.
+
+1. Batches send the hashes of their seeds.  Seeds met twice come back.
+2. For those, batches send digests of the context (the sample suffix and what
+   stands to its left), with the earliest place.  A context that stands
+   earlier elsewhere loses all windows of its sample.  A seed with several
+   different contexts is asked for one of each.
+3. Batches send these suffixes with their left contexts.  Per seed they form
+   an enhanced suffix array; a stack scan of its common-prefix lengths lists
+   the interval tree, and inside each interval the members, sorted by what
+   stands to their left, are scanned for left-extension diversity.  What comes
+   out are maximal repeats (left reach, right reach) with *all* occurrences;
+   all but the earliest are marked.
+4. Batches turn the answers into removed runs.
+
+A seed with more than ``HOT`` occurrences is not sent to one task: in round 2
+its windows are hashed whole, one by one, with two 64-bit hashes, and their
+earliest places found by hash range.  That is exact as well.
 """
 
 from __future__ import annotations
@@ -43,6 +49,8 @@ SEED = 32
 HOT = 2000
 #: Bytes of text in a batch of documents, about.
 BATCH_BYTES = 4 << 20
+#: Windows that are sampled at a time.
+PIECE = 1 << 16
 #: Bytes that never occur in UTF-8 stand for what is outside a text.
 OUTSIDE = 0xFF
 
@@ -50,34 +58,44 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _power(base: np.uint64, n: int) -> np.uint64:
-    return np.uint64(pow(int(base), n, 1 << 64))
-
-
-def rolling(data: np.ndarray, width: int, base: np.uint64 = _MULT) -> np.ndarray:
-    """Polynomial hashes of all windows of ``width`` bytes, by doubling."""
-    n = len(data) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    block, size = data.astype(np.uint64) + np.uint64(1), 1
-    out: np.ndarray | None = None
-    done = 0
-    while True:
-        if width & size:
-            if out is None:
-                out = block[: len(data) - size + 1]
-            else:
-                m = len(data) - done - size + 1
-                out = out[:m] * _power(base, size) + block[done : done + m]
-            done += size
-        if size * 2 > width:
-            break
-        block = block[:-size] * _power(base, size) + block[size:]
+def samples(data: np.ndarray, length: int) -> np.ndarray:
+    """For every window of ``length`` bytes, where its sample begins.
+
+    The sample has the least 32-bit hash of the window's seeds, the leftmost
+    among equals.
+    """
+    block, size, base = data.astype(np.uint32) + np.uint32(1), 1, 0x9E3779B1
+    while size < SEED:
+        block = block[:-size] * np.uint32(pow(base, size, 1 << 32)) + block[size:]
         size *= 2
-    out = out[:n].copy()
-    out ^= out >> np.uint64(32)
+    block ^= block >> np.uint32(15)
+    block *= np.uint32(0x85EBCA77)
+    block ^= block >> np.uint32(13)
+    block *= np.uint32(0xC2B2AE3D)
+    key = block.astype(np.uint64) << np.uint64(32)
+    key |= np.arange(len(block), dtype=np.uint64)
+    span, least, size = length - SEED + 1, key, 1
+    while size * 2 <= span:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < span:
+        rest = span - size
+        least = np.minimum(least[: len(key) - span + 1], least[rest : rest + len(key) - span + 1])
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def mixed(rows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte rows."""
+    n, width = rows.shape
+    if width % 8:
+        rows = np.concatenate((rows, np.zeros((n, 8 - width % 8), np.uint8)), axis=1)
+    words = np.ascontiguousarray(rows).view("<u8")
+    out = np.full(n, 0x243F6A8885A308D3, np.uint64)
+    for k in range(words.shape[1]):
+        out = (out ^ words[:, k]) * _MULT
+        out ^= out >> np.uint64(29)
     out *= _MIX
-    out ^= out >> np.uint64(29)
+    out ^= out >> np.uint64(32)
     return out
 
 
@@ -88,7 +106,6 @@ class Batch:
         order = np.argsort(ids, kind="stable")
         self.ids = np.asarray(ids, np.int64)[order]
         texts = [texts[i] for i in order]
-        self.order = order
         self.length = length
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1].astype(np.int64)
@@ -98,39 +115,42 @@ class Batch:
 
     def _sample(self) -> None:
         """Window runs: samples ``at`` own windows ``first`` .. ``last``."""
-        span = self.length - SEED + 1  # seeds in a window
-        long = self.sizes >= self.length
-        if not long.any():
-            self.at = self.first = self.last = self.owner = np.zeros(0, np.int64)
-            self.seed = np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        self.at = self.first = self.last = self.owner = none
+        self.seed = np.zeros(0, np.uint64)
+        long = np.flatnonzero(self.sizes >= self.length)
+        if not len(long):
             return
-        hashes = rolling(self.data, SEED)
-        # The same share of the hash in every batch, so equal windows agree.
-        low = np.uint64((1 << 32) - 1)
-        key = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-        # The least key of each window: the least hash, leftmost among equals.
-        least, size = key, 1
-        while size * 2 <= span:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if size < span:
-            rest = span - size
-            least = np.minimum(least[: len(key) - span + 1], least[rest : rest + len(key) - span + 1])
-        sample = (least & low).astype(np.int64)
-        owner = np.repeat(np.arange(len(self.ids))[long], self.sizes[long] - self.length + 1)
-        window = np.arange(len(owner)) - np.repeat(
-            np.concatenate(([0], np.cumsum(self.sizes[long] - self.length + 1)))[:-1],
-            self.sizes[long] - self.length + 1,
-        ) + self.starts[owner]
-        at = sample[window]
-        new = np.flatnonzero(
-            np.concatenate(([True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])))
-        )
-        self.at = at[new]
-        self.owner = owner[new]
-        self.first = window[new]
-        self.last = window[np.concatenate((new[1:], [len(window)])) - 1]
-        self.seed = hashes[self.at]
+        at, first = [], []
+        windows = len(self.data) - self.length + 1
+        for begin in range(0, windows, PIECE):
+            end = min(windows, begin + PIECE)
+            own = samples(self.data[begin : end + self.length - 1], self.length)
+            new = np.flatnonzero(own[1:] != own[:-1]) + 1
+            new = np.concatenate(([0], new))
+            at.append(own[new] + begin)
+            first.append(new + begin)
+        at, first = np.concatenate(at), np.concatenate(first)
+        # Windows of each document; runs are cut where documents begin.
+        low, high = self.starts[long], self.starts[long] + self.sizes[long] - self.length
+        inside = np.searchsorted(first, low, side="right") - 1
+        at = np.concatenate((at, at[inside]))
+        first = np.concatenate((first, low))
+        order = np.lexsort((np.arange(len(first)), first))
+        at, first = at[order], first[order]
+        doc = np.searchsorted(low, first, side="right") - 1
+        keep = (doc >= 0) & (first <= high[np.maximum(doc, 0)])
+        # Of two runs with one beginning, or one sample, the first stands.
+        at, first, doc = at[keep], first[keep], doc[keep]
+        new = np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
+        at, first, doc = at[new], first[new], doc[new]
+        following = np.concatenate((first[1:], [np.iinfo(np.int64).max])) - 1
+        self.at, self.first, self.owner = at, first, long[doc]
+        self.last = np.minimum(following, high[doc])
+        words = np.lib.stride_tricks.as_strided(
+            self.data, (len(self.data) - SEED + 1, SEED), (1, 1), writeable=False
+        )[at]
+        self.seed = mixed(np.ascontiguousarray(words))
 
     def contexts(self, rows: np.ndarray) -> np.ndarray:
         """For samples: left bytes (nearest first), then bytes to the right."""
@@ -235,9 +255,6 @@ def _ranges(total: int, size: int) -> int:
     return max(64, -(-total // size))
 
 
-_SPLIT = 1 << 20
-
-
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The range of the hash's top bits that it belongs to."""
     return ((hashes >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64)
@@ -251,8 +268,116 @@ def _groups(bucket: np.ndarray):
             yield int(bucket[own[0]]), own
 
 
-def _batch_of(key, pdf, length: int) -> Batch:
-    return Batch(pdf["id"].to_numpy(np.int64), [bytes(t) for t in pdf["text"]], length)
+def _dealt(rows: DataFrame, batches: int, parts: int) -> DataFrame:
+    """(batch, n, ids, sizes, body): documents packed and compressed by batch."""
+
+    def run(arrow):
+        import pyarrow as pa
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+        for chunk in arrow:
+            ids = chunk.column(0).to_numpy(zero_copy_only=False)
+            batch = chunk.column(1).to_numpy(zero_copy_only=False)
+            texts = [t.encode("utf-8") for t in chunk.column(2).to_pylist()]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            out = [
+                (
+                    b,
+                    len(own),
+                    ids[own].astype(np.int64).tobytes(),
+                    sizes[own].tobytes(),
+                    packer.compress(b"".join([texts[i] for i in own])),
+                )
+                for b, own in _groups(batch)
+            ]
+            if out:
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                    names=["batch", "n", "ids", "sizes", "body"],
+                )
+
+    number = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")
+    return (
+        rows.select("id", number.alias("batch"), "text")
+        .mapInArrow(run, "batch int, n int, ids binary, sizes binary, body binary")
+        .repartition(parts, "batch")
+    )
+
+
+def _batch_of(pdf, length: int) -> Batch:
+    import zstandard
+
+    unpack, ids, texts = zstandard.ZstdDecompressor(), [], []
+    for n, own, sizes, body in pdf[["n", "ids", "sizes", "body"]].itertuples(index=False):
+        ids.append(np.frombuffer(own, np.int64, n))
+        raw, at = unpack.decompress(body) if any(sizes) else b"", 0
+        for size in np.frombuffer(sizes, np.int64, n).tolist():
+            texts.append(raw[at : at + size])
+            at += size
+    return Batch(np.concatenate(ids), texts, length)
+
+
+def _columns(bodies, kinds: list[str]) -> list[np.ndarray]:
+    """Packed arrays of (n, body) rows, laid end to end; 8 bytes a value."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for n, body in bodies:
+        for i, k in enumerate(kinds):
+            parts[i].append(np.frombuffer(body, k, n, 8 * n * i))
+    return [np.concatenate(p) for p in parts]
+
+
+def _body(*arrays: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def _both(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """One 64-bit key of two."""
+    out = (one * _MULT) ^ (two + _MIX)
+    out ^= out >> np.uint64(31)
+    out *= _MULT
+    return out
+
+
+class _Known:
+    """What a batch knows of its samples once seeds have come back."""
+
+    def __init__(self, batch: Batch, bodies):
+        seeds, hot = _columns(bodies, ["u8", "u8"])
+        order = np.argsort(seeds)
+        seeds, hot = seeds[order], hot[order].astype(bool)
+        if len(seeds) and len(batch.seed):
+            place = np.minimum(np.searchsorted(seeds, batch.seed), len(seeds) - 1)
+            found = seeds[place] == batch.seed
+            self.cold = np.flatnonzero(found & ~hot[place])
+            self.hot = np.flatnonzero(found & hot[place])
+        else:
+            self.cold = self.hot = np.zeros(0, np.int64)
+
+    def digests(self, batch: Batch):
+        """(key of seed and context, first row of each key, rows' keys)."""
+        keys = np.zeros(len(self.cold), np.uint64)
+        for s in range(0, len(self.cold), 1 << 14):
+            rows = self.cold[s : s + (1 << 14)]
+            keys[s : s + (1 << 14)] = _both(batch.seed[rows], mixed(batch.contexts(rows)))
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        return distinct, first, inverse
+
+    def windows(self, batch: Batch):
+        """(first hash, second hash, window) of all windows of hot samples."""
+        rows = self.hot
+        n = batch.last[rows] - batch.first[rows] + 1
+        window = np.repeat(batch.first[rows], n) + (
+            np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        )
+        one, two = np.zeros(len(window), np.uint64), np.zeros(len(window), np.uint64)
+        for s in range(0, len(window), 1 << 15):
+            own = window[s : s + (1 << 15), None] + np.arange(batch.length)[None, :]
+            text = batch.data[own]
+            one[s : s + (1 << 15)] = mixed(text)
+            two[s : s + (1 << 15)] = mixed(text[:, ::-1])
+        return one, two, window
 
 
 def removed_runs(
@@ -267,265 +392,234 @@ def removed_runs(
     ``kept`` (binary, with ``keep_text``): the bytes that stay, concatenated.
     Null and empty texts lose nothing.  Ids must be integers and not null
     (rows without an id are left out); rows that repeat an id are taken in any
-    order, one after the other.
+    order, one after the other.  An empty table gives an empty one.
     """
     require(docs, id_col, text_col)
     if length <= SEED:
         raise ValueError(f"length must be over {SEED}")
     spark = docs.sparkSession
     rows = docs.select(
-        docs[id_col].cast("long").alias("id"),
-        F.encode(text_or_empty(text_col), "UTF-8").alias("text"),
+        docs[id_col].cast("long").alias("id"), text_or_empty(text_col).alias("text")
     ).filter(F.col("id").isNotNull())
-    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_batches = _ranges(total, BATCH_BYTES)
-    # A seed in about every 35 bytes, 8 bytes each.
-    hash_buckets = _ranges(total * 8 // 35, BATCH_BYTES)
-    context_buckets = _ranges(total, BATCH_BYTES)
-    spark_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(spark_parts, n_batches // 8)
+    buckets = _ranges(total // 4, BATCH_BYTES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_batches // 8)
+    dealt = _dealt(rows, n_batches, parts)
+    to_bucket = "bucket int, batch int, kind int, n int, body binary"
+    to_batch = "batch int, kind int, n int, body binary"
+    sent_names = ["bucket", "batch", "kind", "n", "body"]
+    back_names = ["batch", "kind", "n", "body"]
+
+    def frame(out, names):
+        import pandas as pd
 
-    dealt = rows.withColumn(
-        "batch", F.pmod(F.xxhash64("id"), F.lit(n_batches)).cast("int")
-    ).repartition(parts, "batch")
-    # 1a. hashes of seeds, packed: one row for each batch and range of hashes
+        return pd.DataFrame(out, columns=names)
 
-    def send_seeds(key, pdf):
-        import pandas as pd
+    def bodies(pdf, *kinds):
+        own = pdf[pdf["kind"].isin(kinds)]
+        return [*own[["n", "body"]].itertuples(index=False, name=None)]
 
-        batch = _batch_of(key, pdf, length)
+    # Round 1: seeds.
+
+    def send_seeds(key, pdf):
+        batch = _batch_of(pdf, length)
         seeds, counts = np.unique(batch.seed, return_counts=True)
-        out = [
-            (b, int(key[0]), seeds[own].tobytes(), np.minimum(counts[own], 65535).astype(np.uint16).tobytes())
-            for b, own in _groups(_bucket(seeds, hash_buckets))
-        ]
-        return pd.DataFrame(out, columns=["bucket", "batch", "seeds", "counts"])
-
-    seeds = dealt.groupBy("batch").applyInPandas(
-        send_seeds, "bucket int, batch int, seeds binary, counts binary"
-    )
+        return frame(
+            [
+                (b, int(key[0]), 0, len(own), _body(seeds[own]) + counts[own].clip(0, 65535).astype("u2").tobytes())
+                for b, own in _groups(_bucket(seeds, buckets))
+            ],
+            sent_names,
+        )
 
-    # 1b. seeds that occur twice go back to each batch that has them
     def answer_seeds(pdf):
-        import pandas as pd
-
-        hashes = [np.frombuffer(x, np.uint64) for x in pdf["seeds"]]
-        sizes = [len(h) for h in hashes]
-        batch = np.repeat(pdf["batch"].to_numpy(), sizes)
-        every = np.concatenate(hashes)
-        counts = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["counts"]]).astype(np.int64)
-        distinct, inverse = np.unique(every, return_inverse=True)
+        every = _columns(bodies(pdf, 0), ["u8"])[0]
+        counts = np.concatenate(
+            [np.frombuffer(body, "u2", n, 8 * n) for n, body in bodies(pdf, 0)]
+        ).astype(np.int64)
+        batch = np.repeat(pdf["batch"].to_numpy(), pdf["n"].to_numpy())
+        _, inverse = np.unique(every, return_inverse=True)
         totals = np.bincount(inverse, counts).astype(np.int64)[inverse]
         again = totals > 1
-        every, batch, hot = every[again], batch[again], totals[again] > HOT
-        out = [
-            (b, every[own].tobytes(), hot[own].astype(np.uint8).tobytes())
-            for b, own in _groups(batch)
-        ]
-        return pd.DataFrame(out, columns=["batch", "seeds", "hot"])
-
-    repeated = seeds.groupBy("bucket").applyInPandas(
-        answer_seeds, "batch int, seeds binary, hot binary"
+        every, batch, hot = every[again], batch[again], (totals[again] > HOT).astype(np.uint64)
+        return frame(
+            [(b, 0, len(own), _body(every[own], hot[own])) for b, own in _groups(batch)],
+            back_names,
+        )
+
+    seeds = dealt.groupBy("batch").applyInPandas(send_seeds, to_bucket)
+    known = seeds.groupBy("bucket").applyInPandas(answer_seeds, to_batch)
+
+    # Round 2: digests of contexts (kind 0), windows of hot seeds (kind 1).
+
+    def send_digests(key, left, right):
+        if not len(left) or not len(right):
+            return frame([], sent_names)
+        batch = _batch_of(left, length)
+        own_known = _Known(batch, bodies(right, 0))
+        out = []
+        if len(own_known.cold):
+            keys, first, _ = own_known.digests(batch)
+            rows = own_known.cold[first]
+            seed, doc = batch.seed[rows], batch.ids[batch.owner[rows]]
+            at = batch.at[rows] - batch.starts[batch.owner[rows]]
+            for b, own in _groups(_bucket(seed, buckets)):
+                out.append((b, int(key[0]), 0, len(own), _body(seed[own], keys[own], doc[own], at[own])))
+        if len(own_known.hot):
+            one, two, window = own_known.windows(batch)
+            _, first = np.unique(_both(one, two), return_index=True)
+            one, two, window = one[first], two[first], window[first]
+            owner = np.searchsorted(batch.starts, window, side="right") - 1
+            doc, at = batch.ids[owner], window - batch.starts[owner]
+            for b, own in _groups(_bucket(one, buckets)):
+                out.append((b, int(key[0]), 1, len(own), _body(one[own], two[own], doc[own], at[own])))
+        return frame(out, sent_names)
+
+    def answer_digests(pdf):
+        """Late contexts (kind 1), late windows (kind 2), wanted ones (kind 3)."""
+        out = []
+        for kind in (0, 1):
+            own = pdf[pdf["kind"] == kind]
+            if not len(own):
+                continue
+            seed, key, doc, at = _columns(bodies(own, kind), ["u8", "u8", "i8", "i8"])
+            batch = np.repeat(own["batch"].to_numpy(), own["n"].to_numpy())
+            order = np.lexsort((at, doc, key, seed))
+            seed, key, batch = seed[order], key[order], batch[order]
+            other_seed = np.concatenate(([True], seed[1:] != seed[:-1]))
+            new = other_seed | np.concatenate(([True], key[1:] != key[:-1]))
+            late = np.flatnonzero(~new)
+            for b, g in _groups(batch[late]):
+                out.append((b, 1 + kind, len(g), _body(seed[late[g]], key[late[g]])))
+            if kind == 0:
+                number = np.cumsum(other_seed) - 1
+                several = np.bincount(number, new)[number] > 1
+                wanted = np.flatnonzero(new & several)
+                for b, g in _groups(batch[wanted]):
+                    out.append((b, 3, len(g), _body(seed[wanted[g]], key[wanted[g]])))
+        return frame(out, back_names)
+
+    digests = (
+        dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(send_digests, to_bucket)
     )
+    answers = digests.groupBy("bucket").applyInPandas(answer_digests, to_batch)
+
+    # Round 3: suffixes with their contexts.
 
-    # 2a. suffixes with their contexts; windows of hot seeds as hashes
     left_width = length - SEED
     width = left_width + length
 
-    def chosen(batch, pdf):
-        known = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["seeds"]])
-        hot = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["hot"]]).astype(bool)
-        order = np.argsort(known)
-        known, hot = known[order], hot[order]
-        place = np.minimum(np.searchsorted(known, batch.seed), len(known) - 1)
-        found = known[place] == batch.seed
-        return found & ~hot[place], found & hot[place]
-
-    def window_hashes(batch, rows):
-        """(first and second hash, window) of all windows of these samples."""
-        n = batch.last[rows] - batch.first[rows] + 1
-        window = np.repeat(batch.first[rows], n) + (
-            np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        )
-        owner = np.repeat(batch.owner[rows], n)
-        one = rolling(batch.data, length)[window]
-        two = rolling(batch.data, length, np.uint64(0xC2B2AE3D27D4EB4F))[window]
-        return one, two, owner, window
+    def wanted_rows(batch, right):
+        """Rows of the contexts that were asked for, and their keys."""
+        seed, key = _columns(bodies(right, 3), ["u8", "u8"])
+        rows = np.flatnonzero(np.isin(batch.seed, seed))
+        keys = np.zeros(len(rows), np.uint64)
+        for s in range(0, len(rows), 1 << 14):
+            part = rows[s : s + (1 << 14)]
+            keys[s : s + (1 << 14)] = _both(batch.seed[part], mixed(batch.contexts(part)))
+        distinct, first = np.unique(keys, return_index=True)
+        hit = np.isin(distinct, key)
+        return rows[first[hit]], distinct[hit]
 
     def send_contexts(key, left, right):
-        import pandas as pd
+        if not len(left) or not (right["kind"] == 3).any():
+            return frame([], sent_names)
+        batch = _batch_of(left, length)
+        rows, keys = wanted_rows(batch, right)
+        seed, doc = batch.seed[rows], batch.ids[batch.owner[rows]]
+        at = batch.at[rows] - batch.starts[batch.owner[rows]]
+        contexts = batch.contexts(rows)
+        return frame(
+            [
+                (b, int(key[0]), 0, len(own), _body(seed[own], keys[own], doc[own], at[own], contexts[own]))
+                for b, own in _groups(_bucket(seed, buckets))
+            ],
+            sent_names,
+        )
 
-        none = pd.DataFrame(columns=["bucket", "batch", "kind", "n", "body"])
-        if not len(left) or not len(right):
-            return none
-        batch = _batch_of(key, left, length)
-        cold, hot = chosen(batch, right)
-        out = []
-        rows = np.flatnonzero(cold)
-        if len(rows):
-            contexts = batch.contexts(rows)
-            sig = rolling(contexts.ravel(), width)[::width]
-            # Equal contexts: the earliest speaks for all; samples are in order.
-            pair = np.empty(len(rows), [("s", np.uint64), ("c", np.uint64)])
-            pair["s"], pair["c"] = batch.seed[rows], sig
-            _, first = np.unique(pair, return_index=True)
-            rows, contexts = rows[first], contexts[first]
-            doc = batch.ids[batch.owner[rows]]
-            at = batch.at[rows] - batch.starts[batch.owner[rows]]
-            for b, own in _groups(_bucket(batch.seed[rows], context_buckets)):
-                out.append(
-                    (b, int(key[0]), 0, len(own), batch.seed[rows][own].tobytes() + doc[own].tobytes() + at[own].tobytes() + contexts[own].tobytes())
-                )
-        rows = np.flatnonzero(hot)
-        if len(rows):
-            one, two, owner, window = window_hashes(batch, rows)
-            order = np.lexsort((window, two, one))
-            keep = order[np.concatenate(([True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)))]
-            doc = batch.ids[owner[keep]]
-            at = window[keep] - batch.starts[owner[keep]]
-            for b, own in _groups(_bucket(one[keep], context_buckets)):
-                out.append(
-                    (b, int(key[0]), 1, len(own), one[keep][own].tobytes() + two[keep][own].tobytes() + doc[own].tobytes() + at[own].tobytes())
-                )
-        return pd.DataFrame(out, columns=["bucket", "batch", "kind", "n", "body"]) if out else none
+    def answer_contexts(pdf):
+        """Marks (kind 4): key, low, high."""
+        seed, key, doc, at = _columns(bodies(pdf, 0), ["u8", "u8", "i8", "i8"])
+        batch = np.repeat(pdf["batch"].to_numpy(), pdf["n"].to_numpy())
+        contexts = np.concatenate(
+            [
+                np.frombuffer(body, np.uint8, n * width, 32 * n).reshape(n, width)
+                for n, body in bodies(pdf, 0)
+            ]
+        )
+        order = np.lexsort((at, doc, seed))
+        seed, key, doc, at, batch = (x[order] for x in (seed, key, doc, at, batch))
+        row, low, high = marks_of(contexts[order], seed, doc, at, length)
+        return frame(
+            [
+                (b, 4, len(g), _body(key[row[g]], low[g], high[g]))
+                for b, g in _groups(batch[row])
+            ],
+            back_names,
+        )
 
-    sent = (
+    suffixes = (
         dealt.groupBy("batch")
-        .cogroup(repeated.groupBy("batch"))
-        .applyInPandas(send_contexts, "bucket int, batch int, kind int, n int, body binary")
+        .cogroup(answers.groupBy("batch"))
+        .applyInPandas(send_contexts, to_bucket)
     )
+    marks = suffixes.groupBy("bucket").applyInPandas(answer_contexts, to_batch)
 
-    # 2b. suffix arrays per seed; answers go back to the batches
-    def answer_contexts(key, pdf):
-        import pandas as pd
+    # Round 4: removed runs.
 
-        parts, batches, hot_parts, hot_batches = [], [], [], []
-        for batch, kind, n, body in pdf[["batch", "kind", "n", "body"]].itertuples(index=False):
-            seed, a, b = (np.frombuffer(body, np.int64, n, 8 * n * i) for i in range(3))
-            seed = seed.view(np.uint64)
-            if kind == 0:
-                rest = np.frombuffer(body, np.uint8, n * width, 24 * n).reshape(n, width)
-                parts.append((seed, a, b, rest))
-                batches.append(np.full(n, batch))
-            else:
-                at = np.frombuffer(body, np.int64, n, 24 * n)
-                hot_parts.append((seed, a.view(np.uint64), b, at))
-                hot_batches.append(np.full(n, batch))
-        out = []
-        if parts:
-            seed, doc, at, contexts = (np.concatenate(x) for x in zip(*parts))
-            batch = np.concatenate(batches)
-            sig = rolling(contexts.ravel(), width)[::width]
-            order = np.lexsort((at, doc, sig, seed))
-            seed, doc, at, sig, batch = (x[order] for x in (seed, doc, at, sig, batch))
-            contexts = contexts[order]
-            new = np.concatenate(([True], (seed[1:] != seed[:-1]) | (sig[1:] != sig[:-1])))
-            # A context seen earlier: every window of its sample starts earlier.
-            first = np.flatnonzero(new)
-            row, low, high = marks_of(contexts[first], seed[first], doc[first], at[first], length)
-            row = first[row]
-            copies = np.flatnonzero(~new)
-            # The batch answers for all its own rows with this context.
-            row = np.concatenate((row, copies))
-            low = np.concatenate((low, np.zeros(len(copies), np.int64)))
-            high = np.concatenate((high, np.full(len(copies), left_width)))
-            for b, own in _groups(batch[row]):
-                out.append(
-                    (b, 0, len(own), seed[row[own]].tobytes() + sig[row[own]].tobytes() + low[own].tobytes() + high[own].tobytes())
-                )
-        if hot_parts:
-            one, two, doc, at = (np.concatenate(x) for x in zip(*hot_parts))
-            batch = np.concatenate(hot_batches)
-            order = np.lexsort((at, doc, two, one))
-            one, two, batch = one[order], two[order], batch[order]
-            new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            # Batches that do not hold the earliest occurrence lose all of theirs.
-            late = np.flatnonzero(~new)
-            for b, own in _groups(batch[late]):
-                out.append((b, 1, len(own), one[late[own]].tobytes() + two[late[own]].tobytes()))
-        return pd.DataFrame(out, columns=["batch", "kind", "n", "body"])
-
-    marked = sent.groupBy("bucket").applyInPandas(
-        answer_contexts, "batch int, kind int, n int, body binary"
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (
+        ", kept binary" * keep_text
     )
 
-    # 3. removed runs
-    def finish(key, left, mid, right):
-        import pandas as pd
-
+    def finish(key, left, right):
         if not len(left):
-            return pd.DataFrame(columns=names)
-        batch = _batch_of(key, left, length)
+            return frame([], names)
+        batch = _batch_of(left, length)
         step = np.zeros(len(batch.data) + 1, np.int32)
 
         def remove(first, last):
-            """Windows first .. last (global starts) go."""
+            """Windows first .. last (places in the batch) go."""
             np.add.at(step, first, 1)
             np.add.at(step, last + length, -1)
 
-        if len(mid):
-            cold, hot = chosen(batch, mid)
-            answers = {0: [], 1: []}
-            for kind, n, body in right[["kind", "n", "body"]].itertuples(index=False):
-                answers[kind].append([np.frombuffer(body, np.int64, n, 8 * n * i) for i in range(2 if kind else 4)])
-            rows = np.flatnonzero(cold)
-            if len(rows):
-                sig = rolling(batch.contexts(rows).ravel(), width)[::width]
-                pair = np.empty(len(rows), [("s", np.uint64), ("c", np.uint64)])
-                pair["s"], pair["c"] = batch.seed[rows], sig
-                distinct, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-                # Not the earliest of the batch: all windows of the sample go.
-                later = rows[np.flatnonzero(first[inverse] != np.arange(len(rows)))]
-                remove(batch.first[later], batch.last[later])
-                if answers[0]:
-                    seed, sig, low, high = (np.concatenate(x) for x in zip(*answers[0]))
-                    asked = np.empty(len(seed), pair.dtype)
-                    asked["s"], asked["c"] = seed.view(np.uint64), sig.view(np.uint64)
-                    row = rows[first[np.searchsorted(distinct, asked)]]
-                    begin = np.maximum(batch.first[row], batch.at[row] - high)
-                    end = np.minimum(batch.last[row], batch.at[row] - low)
-                    good = begin <= end
-                    remove(begin[good], end[good])
-            rows = np.flatnonzero(hot)
-            if len(rows):
-                one, two, owner, window = window_hashes(batch, rows)
-                pair = np.empty(len(one), [("s", np.uint64), ("c", np.uint64)])
-                pair["s"], pair["c"] = one, two
-                _, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-                gone = first[inverse] != np.arange(len(one))
-                if answers[1]:
-                    a, b = (np.concatenate(x) for x in zip(*answers[1]))
-                    asked = np.empty(len(a), pair.dtype)
-                    asked["s"], asked["c"] = a.view(np.uint64), b.view(np.uint64)
-                    gone |= np.isin(pair, asked)
-                remove(window[gone], window[gone])
-        covered = np.cumsum(step[:-1]) > 0
+        own_known = _Known(batch, bodies(right, 0))
+        rows = own_known.cold
+        if len(rows):
+            distinct, first, inverse = own_known.digests(batch)
+            # Not the earliest of the batch: all windows of the sample go.
+            gone = first[inverse] != np.arange(len(rows))
+            _, late = _columns(bodies(right, 1), ["u8", "u8"])
+            gone |= np.isin(distinct, late)[inverse]
+            remove(batch.first[rows[gone]], batch.last[rows[gone]])
+            keys, low, high = _columns(bodies(right, 4), ["u8", "i8", "i8"])
+            if len(keys):
+                row = rows[first[np.searchsorted(distinct, keys)]]
+                begin = np.maximum(batch.first[row], batch.at[row] - high)
+                end = np.minimum(batch.last[row], batch.at[row] - low)
+                good = begin <= end
+                remove(begin[good], end[good])
+        if len(own_known.hot):
+            one, two, window = own_known.windows(batch)
+            keys = _both(one, two)
+            _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            gone = first[inverse] != np.arange(len(keys))
+            gone |= np.isin(keys, _both(*_columns(bodies(right, 2), ["u8", "u8"])))
+            remove(window[gone], window[gone])
+        covered = np.cumsum(step[:-1], dtype=np.int32) > 0
         out = []
         for i, (start, size) in enumerate(zip(batch.starts.tolist(), batch.sizes.tolist())):
             own = covered[start : start + size]
             gone = int(own.sum())
-            raw = batch.raw[start : start + size]
-            kept, spans = raw, 0
+            kept, spans = batch.raw[start : start + size], 0
             if gone:
                 spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum())
                 kept = batch.data[start : start + size][~own].tobytes()
             row = [int(batch.ids[i]), size, gone, spans, hashlib.sha256(kept).hexdigest()]
             out.append([*row, kept] if keep_text else row)
-        return pd.DataFrame(out, columns=names)
+        return frame(out, names)
 
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (
-        ", kept binary" * keep_text
-    )
-    # What comes back to a batch: seeds that occur twice, and marks.
-    back = repeated.select(
-        "batch", F.lit(-1).alias("kind"), F.lit(0).alias("n"), F.col("seeds").alias("body"), "hot"
-    ).unionByName(marked.withColumn("hot", F.lit(None).cast("binary")))
-
-    def end(key, left, right):
-        seeds = right[right["kind"] < 0].rename(columns={"body": "seeds"})
-        return finish(key, left, seeds, right[right["kind"] >= 0])
-
-    return (
-        dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(end, schema)
-    )
+    late = answers.filter(F.col("kind") < 3)
+    back = known.unionByName(late).unionByName(marks)
+    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(finish, schema)
