@@ -6,8 +6,9 @@ a *certain cut*: the fragments between cuts are encoded independently and
 their ids concatenated.  Fragments are short and repeat, so each is encoded
 once per worker.
 
-White space never joins tokens either, so whole white-space-free chunks are
-looked up first and only unseen chunks reach the splitter.
+Words are looked up first; those not seen before are encoded together.  Their
+fragments become rows of symbols, and one numpy step applies the best merge of
+every row, leftmost first, until no row has one left.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -28,10 +30,18 @@ from .common import require, text_or_empty
 #: Unicode White_Space, as a character class body.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Entries a worker keeps before it starts afresh.
-CACHE_ENTRIES = 300_000
+#: Words a worker keeps before it starts afresh.
+CACHE_ENTRIES = 600_000
+#: Symbols of the longest fragments that are merged as rows.
+ROW_SYMBOLS = 64
+#: Characters of text that are split before unseen words are encoded.
+SLICE = 2_000_000
 
-_CHUNKS = re.compile(f"[{WHITE}]+")
+#: Characters for which the short word patterns below hold, and their classes.
+NARROW = re.compile("[^\\x00-\u012f\u0131-\u017f]")
+NARROW_WHITE = r"\t-\r \x85\xa0"
+NARROW_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+NARROW_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
 
 @lru_cache(maxsize=1)
@@ -125,6 +135,77 @@ class LongWord:
         return [x for x in ids if x >= 0]
 
 
+class RowMerger:
+    """Merges many short symbol rows at once."""
+
+    #: No merge.
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        size = 1 << max(4, (4 * len(merges)).bit_length())
+        self.shift = np.uint64(64 - (size.bit_length() - 1))
+        self.mask = size - 1
+        self.keys = np.full(size, -1, np.int64)
+        self.ranks = np.full(size, self.NONE, np.int32)
+        self.new = np.zeros(size, np.int32)
+        for (left, right), (rank, new) in merges.items():
+            key = left << 32 | right
+            at = ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> int(self.shift)
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.mask
+            self.keys[at], self.ranks[at], self.new[at] = key, rank, new
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged id) of pairs; NONE where a side is negative or no
+        merge exists."""
+        key = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
+        at = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        found = self.keys[at]
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            found = self.keys[at[open_]]
+            open_ = open_[(found != key[open_]) & (found >= 0)]
+        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.ranks[at], self.NONE), self.new[at]
+
+    def merge(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of ids padded with -1, merged; -1 where symbols went."""
+        n, width = ids.shape
+        if not n or width < 2:
+            return ids
+        ids = ids.astype(np.int32)
+        place = np.arange(width, dtype=np.int32)
+        after = np.tile(place + 1, (n, 1))
+        before = np.tile(place - 1, (n, 1))
+        ranks, _ = self.find(ids[:, :-1].ravel(), ids[:, 1:].ravel())
+        ranks = np.c_[ranks.reshape(n, width - 1), np.full(n, self.NONE, np.int32)]
+        active = np.arange(n)
+        while len(active):
+            i = ranks[active].argmin(axis=1)
+            some = ranks[active, i] != self.NONE
+            active, i = active[some], i[some]
+            if not len(active):
+                break
+            j = after[active, i]
+            _, new = self.find(ids[active, i], ids[active, j])
+            ids[active, i], ids[active, j] = new, -1
+            ranks[active, j] = self.NONE
+            k = after[active, j]
+            after[active, i] = k
+            inside = k < width
+            rows, at = active[inside], k[inside]
+            before[rows, at] = i[inside]
+            right = np.full(len(active), -1, np.int32)
+            right[inside] = ids[rows, at]
+            ranks[active, i] = self.find(new, right)[0]
+            h = before[active, i]
+            inside = h >= 0
+            rows, at = active[inside], h[inside]
+            ranks[rows, at] = self.find(ids[rows, at], new[inside])[0]
+        return ids
+
+
 class WordEncoder:
     """Encodes text by the word-BPE vocabulary, by forced-boundary splitting."""
 
@@ -132,13 +213,23 @@ class WordEncoder:
     WORDS = regex.compile(
         r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     )
+    #: The same for texts of narrow characters only.
+    SHORT = re.compile(
+        "'s|'t|'re|'ve|'m|'ll|'d"
+        f"|[{NARROW_LETTERS}]+|[{NARROW_NUMBERS}]"
+        f"|[^{NARROW_WHITE}{NARROW_LETTERS}{NARROW_NUMBERS}]+"
+    )
 
     def __init__(self, path: str):
-        self.vocab = Vocabulary(path)
-        self.inner = self._inner_pairs()
-        self.long = LongWord(self.vocab.merges)
-        self.fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
-        names = sorted(self.vocab.specials, key=len, reverse=True)
+        self.vocab = v = Vocabulary(path)
+        inner = self._inner_pairs()
+        self.inner = np.zeros(1 << 16, bool)
+        self.inner[sorted(inner)] = True
+        self.rows = RowMerger(v.merges)
+        self.long = LongWord(v.merges)
+        self.byte_ids = np.array(v.byte_ids, np.int32)
+        self.last_ids = np.array(v.last_ids, np.int32)
+        names = sorted(v.specials, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
     def _inner_pairs(self) -> set[int]:
@@ -151,68 +242,78 @@ class WordEncoder:
                 pairs.update(a * 256 + b for a, b in zip(raw, raw[1:]))
         return pairs
 
-    def cuts(self, word: bytes) -> list[int]:
-        """Offsets inside ``word`` that no token can span."""
-        inner = self.inner
-        return [
-            i + 1
-            for i, (a, b) in enumerate(zip(word, word[1:]))
-            if a * 256 + b not in inner
-        ]
-
-    def encode_fragment(self, fragment: bytes, last: bool) -> tuple[int, ...]:
-        key = (fragment, last)
-        found = self.fragments.get(key)
-        if found is None:
-            v = self.vocab
-            ids = [v.byte_ids[b] for b in fragment]
-            if last:
-                ids[-1] = v.last_ids[fragment[-1]]
-            found = tuple((self.long if len(ids) > 64 else v).merge(ids))
-            if len(self.fragments) >= CACHE_ENTRIES:
-                self.fragments.clear()
-            self.fragments[key] = found
-        return found
-
-    def encode_word(self, word: bytes) -> list[int]:
-        edges, out = [0, *self.cuts(word), len(word)], []
-        for a, b in zip(edges, edges[1:]):
-            out.extend(self.encode_fragment(word[a:b], b == len(word)))
-        return out
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without special strings; normalisation included."""
-        chunk = unicodedata.normalize("NFC", chunk)
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special strings, normalised."""
+        if NARROW.search(text) is None:
+            return self.SHORT.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
         # Character by character, as the library does: no final-sigma rule.
-        chunk = chunk.replace("Σ", "σ").lower()
-        out: list[int] = []
-        for word in self.WORDS.findall(chunk):
-            out.extend(self.encode_word(word.encode("utf-8")))
-        return out
+        return self.WORDS.findall(text.replace("Σ", "σ").lower())
+
+    def fragments(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends, word) of the fragments between certain cuts."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        if not len(raw):
+            none = np.zeros(0, np.int64)
+            return raw, none, none, none
+        cut = np.ones(len(raw), bool)  # whether a fragment begins here
+        cut[1:] = ~self.inner[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+        cut[ends[:-1][ends[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(cut)
+        return raw, starts, np.append(starts[1:], len(raw)), np.searchsorted(ends, starts, side="right")
+
+    def encode_many(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word: its fragments' ids, one after the other."""
+        raw, starts, ends, word = self.fragments(words)
+        if not len(starts):
+            return [np.zeros(0, np.int32) for _ in words]
+        symbols = self.byte_ids[raw]
+        last = np.append(word[1:] != word[:-1], True)
+        symbols[ends[last] - 1] = self.last_ids[raw[ends[last] - 1]]
+        out = symbols.copy()  # merged in place; -1 where symbols went
+        size = ends - starts
+        low = 1
+        for high in (6, 10, 16, 32, ROW_SYMBOLS):
+            own = np.flatnonzero((size > low) & (size <= high))
+            for at in range(0, len(own), 1 << 14):
+                part = own[at : at + (1 << 14)]
+                where = starts[part][:, None] + np.arange(high)
+                inside = where < ends[part][:, None]
+                rows = np.where(inside, symbols[np.where(inside, where, 0)], -1)
+                out[where[inside]] = self.rows.merge(rows)[inside]
+            low = high
+        for i in np.flatnonzero(size > ROW_SYMBOLS):
+            merged = self.long.merge(symbols[starts[i] : ends[i]].tolist())
+            out[starts[i] : ends[i]] = -1
+            out[starts[i] : starts[i] + len(merged)] = merged
+        kept = out >= 0
+        flat = out[kept]
+        number = np.concatenate(([0], np.cumsum(kept)))
+        edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+        bounds = number[edges].tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def pieces(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """White-space-free chunks (id None) and special strings (their id)."""
+        """Parts between special strings (id None), and those (their id)."""
         if self.special is None or "<|" not in text:
-            for chunk in _CHUNKS.split(text):
-                if chunk:
-                    yield chunk, None
+            yield text, None
             return
         at = 0
-        for m in [*self.special.finditer(text), None]:
-            for chunk in _CHUNKS.split(text[at : m.start() if m else len(text)]):
-                if chunk:
-                    yield chunk, None
-            if m:
-                yield m[0], self.vocab.specials[m[0]]
-                at = m.end()
+        for m in self.special.finditer(text):
+            yield text[at : m.start()], None
+            yield m[0], self.vocab.specials[m[0]]
+            at = m.end()
+        yield text[at:], None
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for chunk, special in self.pieces(text):
-            if special is None:
-                out.extend(self.encode_chunk(chunk))
-            else:
+        for part, special in self.pieces(text):
+            if special is not None:
                 out.append(special)
+                continue
+            for ids in self.encode_many([w.encode("utf-8") for w in self.words(part)]):
+                out.extend(ids.tolist())
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -221,39 +322,59 @@ class WordEncoder:
         return " ".join(self.vocab.names[i] for i in ids if i in self.vocab.names)
 
 
-class ChunkCache(dict):
-    """chunk -> ``make(ids)``; starts afresh when it is full."""
+class WordCache(dict):
+    """word -> ``make(ids)``; starts afresh when it is full."""
 
     def __init__(self, encoder: WordEncoder, make):
         super().__init__()
         self.encoder, self.make = encoder, make
 
-    def __missing__(self, chunk: str):
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[chunk] = value = self.make(self.encoder.encode_chunk(chunk))
-        return value
-
-    def of(self, text: str) -> list:
-        """The values of a whole text's chunks, in order."""
-        if "<|" not in text:
-            chunks = _split(text)
-            return [*map(self.__getitem__, chunks)]
-        return [
-            self[c] if special is None else self.make([special])
-            for c, special in self.encoder.pieces(text)
-        ]
-
-
-_ODD = re.compile("[\x1c-\x1f]")
+    def of_many(self, texts: list[str]) -> Iterator[list]:
+        """The values of each whole text's words, in order.
 
+        Texts are taken in slices; the unseen words of a slice are encoded
+        together.
+        """
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+                size += len(texts[end])
+                end += 1
+            split = [self._split(t) for t in texts[at:end]]
+            self._learn(split)
+            get = self.__getitem__
+            for words in split:
+                if type(words) is list:
+                    yield [*map(get, words)]
+                else:
+                    yield [v for own, special in words for v in (map(get, own) if special is None else [self.make(np.array([special], np.int32))])]
+            at = end
 
-def _split(text: str) -> list[str]:
-    """Chunks between white space; ``str.split`` takes four controls as white
-    space that the vocabulary's pattern does not."""
-    if _ODD.search(text):
-        return [c for c in _CHUNKS.split(text) if c]
-    return text.split()
+    def _split(self, text: str):
+        """The words of a text; a tuple of parts where special strings occur."""
+        if "<|" not in text:
+            return self.encoder.words(text)
+        return tuple(
+            (self.encoder.words(part) if special is None else (), special)
+            for part, special in self.encoder.pieces(text)
+        )
+
+    def _learn(self, split: list) -> None:
+        seen: set[str] = set()
+        for words in split:
+            if type(words) is list:
+                seen.update(words)
+            else:
+                for own, _ in words:
+                    seen.update(own)
+        missing = [*(seen - self.keys())]
+        if len(self) + len(missing) > CACHE_ENTRIES:
+            self.clear()
+            missing = [*seen]
+        make = self.make
+        for word, ids in zip(missing, self.encoder.encode_many([w.encode("utf-8") for w in missing])):
+            self[word] = make(ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -266,10 +387,9 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def packed(ids: Iterable[int]) -> bytes:
+def packed(ids: np.ndarray) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
-    ids = list(ids)
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return np.asarray(ids, "<u4").tobytes()
 
 
 def encode_documents(
@@ -286,9 +406,9 @@ def encode_documents(
     def run(batches):
         import pyarrow as pa
 
-        cache = ChunkCache(encoder_for(path), packed)
+        cache = WordCache(encoder_for(path), packed)
         for batch in batches:
-            out = [b"".join(cache.of(t)) for t in batch.column(1).to_pylist()]
+            out = [b"".join(own) for own in cache.of_many(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out, pa.binary())], names=["id", "ids"]
             )
@@ -337,13 +457,13 @@ def round_trip_digests(
         names = encoder.vocab.names
 
         def make(ids):
-            return " ".join(map(str, ids)), " ".join(names[i] for i in ids), len(ids)
+            ids = ids.tolist()
+            return " ".join(map(str, ids)), " ".join([names[i] for i in ids]), len(ids)
 
-        cache = ChunkCache(encoder, make)
+        cache = WordCache(encoder, make)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                entries = cache.of(text)
+            for entries in cache.of_many(batch.column(1).to_pylist()):
                 if entries:
                     ids, words, n = zip(*entries)
                 else:

@@ -20,7 +20,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ChunkCache, encoder_for, packed
+from .bpe import WordCache, encoder_for, packed
 from .common import require, text_or_empty, written
 
 #: Pieces of one length that are ranked in one group, about.
@@ -104,12 +104,12 @@ def tokenized_pieces(
     def run(batches):
         import pyarrow as pa
 
-        cache = ChunkCache(encoder_for(path), packed)
+        cache = WordCache(encoder_for(path), packed)
         end, width = packed([end_id]), 4 * capacity
         for batch in batches:
             owner, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                raw = b"".join([*cache.of(text), end])
+            for row, own in enumerate(cache.of_many(batch.column(1).to_pylist())):
+                raw = b"".join([*own, end])
                 for k, at in enumerate(range(0, len(raw), width)):
                     part = raw[at : at + width]
                     owner.append(row)
