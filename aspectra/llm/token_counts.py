@@ -23,22 +23,40 @@ from itertools import accumulate
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe import CACHE_ENTRIES, WHITE, Vocabulary
+from .bpe import (
+    CACHE_ENTRIES,
+    NARROW,
+    NARROW_LETTERS,
+    NARROW_NUMBERS,
+    NARROW_WHITE,
+    WHITE,
+    Vocabulary,
+)
 from .common import require, text_or_empty
 
 
-class PrefixCounter:
-    """Token counts of prefixes for a byte-level vocabulary file."""
+class PrefixCounter(dict):
+    """Token counts of prefixes for a byte-level vocabulary file.
+
+    As a mapping it holds the token counts of the pieces met so far.
+    """
 
     #: How texts are cut before merging (a fixed value of the vocabulary).
     PIECES = regex.compile(
         r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     )
+    #: The same for texts of narrow characters only.
+    SHORT = re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{NARROW_LETTERS}]+| ?[{NARROW_NUMBERS}]+"
+        f"| ?[^{NARROW_WHITE}{NARROW_LETTERS}{NARROW_NUMBERS}]+"
+        f"|[{NARROW_WHITE}]+(?![^{NARROW_WHITE}])|[{NARROW_WHITE}]+"
+    )
     #: White space and what follows it: pieces never span two units.
     UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
     _LEAD = re.compile(f"[{WHITE}]*")
 
     def __init__(self, path: str):
+        super().__init__()
         self.vocab = v = Vocabulary(path)
         of = v.byte_of
         self.tokens: dict[bytes, int] = {}
@@ -50,7 +68,6 @@ class PrefixCounter:
         self.stable_pairs: dict[tuple[int, int], bool] = {}
         self.reachable: dict[int, bool] = {}
         self.tables: dict[bytes, tuple[int, ...]] = {}
-        self.units: dict[str, int] = {}
         names = sorted(v.specials, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
@@ -84,7 +101,7 @@ class PrefixCounter:
         if found is None:
             found = self._table(piece)
             if len(piece) <= 64:
-                if len(self.tables) >= CACHE_ENTRIES // 4:
+                if len(self.tables) >= CACHE_ENTRIES // 8:
                     self.tables.clear()
                 self.tables[piece] = found
         return found
@@ -104,19 +121,22 @@ class PrefixCounter:
 
     # -- units and texts ---------------------------------------------------
 
+    def __missing__(self, piece: str) -> int:
+        """Tokens of a piece: the last entry of its table."""
+        n = self.table(piece.encode("utf-8", "surrogatepass"))[-1]
+        if len(piece) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[piece] = n
+        return n
+
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text without special strings."""
+        pattern = self.SHORT if NARROW.search(text) is None else self.PIECES
+        return pattern.findall(text)
+
     def unit_count(self, unit: str) -> int:
-        """Tokens of a unit: the last entry of each of its pieces' tables."""
-        found = self.units.get(unit)
-        if found is None:
-            found = sum(
-                self.table(p.encode("utf-8", "surrogatepass"))[-1]
-                for p in self.PIECES.findall(unit)
-            )
-            if len(unit) <= 64:
-                if len(self.units) >= CACHE_ENTRIES:
-                    self.units.clear()
-                self.units[unit] = found
-        return found
+        return sum(map(self.__getitem__, self.pieces(unit)))
 
     def unit_prefixes(self, unit: str) -> list[int]:
         """Token counts of ``unit[:i]`` for every i from 0 to its length.
@@ -157,23 +177,28 @@ class PrefixCounter:
         out.append((text[at:], False))
         return [x for x in out if x[0]]
 
-    def unit_counts(self, text: str) -> tuple[list[str], list[int]]:
-        """The units of a text (special strings are units) and their tokens."""
-        get, units, counts = self.unit_count, [], []
+    def count(self, text: str) -> int:
+        """Tokens of the whole text: its pieces' last table entries."""
+        get = self.__getitem__
+        return sum(
+            1 if special else sum(map(get, self.pieces(part)))
+            for part, special in self.segments(text)
+        )
+
+    def units_until(self, text: str, budget: int) -> tuple[list[str], list[int]]:
+        """Units (special strings are units) and their tokens, until their sum
+        is over ``budget``, and one more."""
+        units, counts, left = [], [], budget
         for part, special in self.segments(text):
-            if special:
-                units.append(part)
-                counts.append(1)
-            else:
-                own = self.UNITS.findall(part)
-                units += own
-                counts += map(get, own)
+            found = [part] if special else (m[0] for m in self.UNITS.finditer(part))
+            for unit in found:
+                units.append(unit)
+                counts.append(1 if special else self.unit_count(unit))
+                if left < 0:
+                    return units, counts
+                left -= counts[-1]
         return units, counts
 
-    def count(self, text: str) -> int:
-        """Tokens of the whole text."""
-        return sum(self.unit_counts(text)[1])
-
     def prefixes(self, text: str) -> list[int]:
         """Token counts of ``text[:i]`` for every i from 0 to its length."""
         out, base, tail = [0], 0, ""
@@ -199,7 +224,7 @@ class PrefixCounter:
 
         Only the unit in which the budget ends needs its prefix table.
         """
-        units, counts = self.unit_counts(text)
+        units, counts = self.units_until(text, budget)
         return self.cut_units(units, counts, budget)
 
     def cut_units(self, units: list[str], counts: list[int], budget: int) -> int:
@@ -256,13 +281,10 @@ def count_tokens(
         for batch in batches:
             size, total, cut = [], [], []
             for text in batch.column(1).to_pylist():
-                units, counts = counter.unit_counts(text)
-                n = sum(counts)
+                n = counter.count(text)
                 size.append(len(text.encode("utf-8")))
                 total.append(n)
-                cut.append(
-                    len(text) if n <= budget else counter.cut_units(units, counts, budget)
-                )
+                cut.append(len(text) if n <= budget else counter.cut(text, budget))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
