@@ -76,6 +76,28 @@ TEMPLATES = {
     ),
 }
 
+#: Names that statements use for the families (fixed values), for training only.
+NAMES = {
+    "apache": ("Apache License", "Apache License, Version 2.0", "Apache 2.0 license"),
+    "bsd": ("BSD License", "BSD 3-Clause License", "2-clause BSD license"),
+    "cc": ("CC BY 4.0", "CC BY-NC 4.0", "Creative Commons Attribution license", "CC BY-NC-SA 3.0"),
+    "gpl": ("GNU General Public License", "GNU GPL", "GPL version 3", "GNU General Public License, version 2"),
+    "lgpl": ("GNU Lesser General Public License", "GNU LGPL", "Lesser General Public License"),
+    "mit": ("MIT License", "MIT licence"),
+    "mpl": ("Mozilla Public License", "MPL 2.0", "Mozilla Public License, v. 2.0"),
+    "unlicense": ("Unlicense", "CC0 1.0 Universal", "public domain dedication"),
+}
+
+#: How statements are worded around a name, for training only.
+FRAMES = (
+    "Licensed under the {}.",
+    "Released under the {}.",
+    "This work is licensed under the {}.",
+    "This library is licensed under the {}.",
+    "This tool is distributed under the terms of the {}.",
+    "The software is available under the {}, see the file.",
+)
+
 #: Sentences with similar words that state no licence (fixed values).
 LOOKALIKES = (
     "The driver must show a valid driving license to the officer.",
@@ -176,10 +198,11 @@ def _examples(corpus: list[str]) -> tuple[list[list[str]], list[str]]:
     family += [""] * len(plain)
     spare = plain or [words_of(t) for t in LOOKALIKES]
     for name, templates in TEMPLATES.items():
-        for template in templates:
+        framed = [f.format(n) for n in NAMES[name] for f in FRAMES]
+        for template in [*templates, *framed]:
             own = words_of(template)
-            for i in range(24):
-                words = [w for w in own if i < 8 or rng.random() > 0.12]
+            for i in range(24 if template in templates else 9):
+                words = [w for w in own if i < 8 or rng.random() > 0.1]
                 if i % 3 == 1:
                     words = spare[int(rng.integers(len(spare)))][:20] + words
                 if i % 3 == 2:

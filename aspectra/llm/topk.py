@@ -29,6 +29,8 @@ SHARD_BLOCKS = 64
 CHUNK = 2048
 #: Sums below this are exact in double precision.
 EXACT = 2.0**52
+#: Scores beyond this are reported as this.
+LONG = 2**63 - 1
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -139,7 +141,8 @@ def top_k(
     ``queries`` has the columns of ``vectors`` and usually is a part of it.
     Ties go to the smaller id; fewer than k candidates give fewer rows;
     vectors of another length are no candidates; a query never finds its own
-    id.  Repeated rows count once; other columns do not matter.
+    id.  Repeated rows count once; other columns do not matter.  Scores that 64
+    bits cannot hold are reported as the nearest that they can.
     """
     rows = quantized(vectors, id_col, vec_col, scale)
     asked = quantized(queries, id_col, vec_col, scale)
@@ -212,7 +215,7 @@ def top_k(
                 for score, v in top:
                     out["query_id"].append(i)
                     out["vec_id"].append(v)
-                    out["score"].append(score)
+                    out["score"].append(max(-LONG, min(LONG, score)))
         return pd.DataFrame(out)
 
     found = (
