@@ -172,6 +172,10 @@ def facet_counts(
     return out
 
 
+def _named(field: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+
 def highlighted(hits: DataFrame, doc: Document, text: str) -> DataFrame:
     """(urn, matches): per hit the (field, value) pairs that match, in order.
 
@@ -187,7 +191,7 @@ def highlighted(hits: DataFrame, doc: Document, text: str) -> DataFrame:
             whitespace_tokens(v), lambda t: F.greatest(*[(F.abs(F.length(t) - len(x)) <= edits_allowed(x)) & (F.levenshtein(t, F.lit(x), edits_allowed(x)) >= 0) for x in terms], F.lit(False))
         )
         found = F.filter(_values(hits, field), test)
-        pairs.append(F.transform(found, lambda v, f=field: F.struct(F.lit(f).alias("field"), v.alias("value"))))
+        pairs.append(_named(field, found))
     if not pairs:
         return hits.sparkSession.createDataFrame([], "urn string, matches array<struct<field:string,value:string>>")
     return hits.select("urn", F.flatten(F.array(*pairs)).alias("matches")).filter(F.size("matches") > 0)
