@@ -1,8 +1,8 @@
 """WARC archives through a chunked record table (operator 10).
 
-Payloads travel as rows (record, chunk number, bytes), so no task holds a
-whole oversized record: the chunks are cut in the JVM, dealt and sorted by
-Spark, and the writer streams them into one gzip member per record.  The
+Payloads travel as rows (record, chunk number, bytes), so no
+worker holds a whole oversized record: the chunks are cut in the JVM, and the
+writer streams them, as they come, into one gzip member per record.  The
 reader streams members back as chunk rows that carry the digest so far.
 
 Archives are files under the shared folder, opened through ``pyarrow.fs`` by
@@ -21,12 +21,12 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, require
+from .common import fresh_path, require, written
 
 #: Payload bytes in a chunk row.
 CHUNK = 64 << 10
-#: Payload bytes in an archive, about.
-ARCHIVE_BYTES = 32 << 20
+#: Bytes of an archive, about; a record is never cut.
+ARCHIVE_BYTES = 64 << 20
 #: Date of records without one.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -150,15 +150,9 @@ def write_archives(
     """
     spark = plan.sparkSession
     path = path or fresh_path(spark, "archives")
-    total = plan.agg(F.coalesce(F.sum(F.col("n") + 500), F.lit(0))).first()[0]
-    archives = max(16, -(-total // ARCHIVE_BYTES))
-    rows = (
-        chunked(plan, chunk)
-        .withColumn("archive", F.pmod(F.xxhash64("record"), F.lit(archives)).cast("int"))
-        .repartition("archive")
-        .sortWithinPartitions("archive", "record", "chunk_no")
-    )
-    order = ["archive", "record", "chunk_no", "data", "id", "url", "n", "sha1", "kind", "refers", "stored_n"]
+    # A record's chunks come one after the other; no further exchange.
+    rows = chunked(plan, chunk)
+    order = ["record", "chunk_no", "data", "id", "url", "n", "sha1", "kind", "refers", "stored_n"]
 
     def run(batches):
         import pyarrow as pa
@@ -166,7 +160,7 @@ def write_archives(
 
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        out = packer = archive = record = None
+        out = packer = record = None
         name, records, size, done = "", 0, 0, []
 
         def put(data):
@@ -183,12 +177,12 @@ def write_archives(
                 if row["record"] != record:
                     if record is not None:
                         end_record()
-                    if row["archive"] != archive:
+                    if out is None or size >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                             done.append((f"{path}/{name}", records, size))
-                        archive, records, size = row["archive"], 0, 0
-                        name = f"part-{archive:06d}-{uuid.uuid4().hex}.warc.gz"
+                        records, size = 0, 0
+                        name = f"part-{uuid.uuid4().hex}.warc.gz"
                         out = store.open_output_stream(f"{folder}/{name}", compression=None)
                     record = row["record"]
                     records += 1
@@ -370,7 +364,8 @@ def archive_pages(
     repeated rows have a record each; other columns are dropped.
     """
     manifest = write_archives(record_plan(pages, id_col, url_col, text_col, smallest))
-    records = read_archives(manifest, with_data=False).filter("last")
+    # One row a record, written once: it is needed for records and revisits.
+    records = written(read_archives(manifest, with_data=False).filter("last"), "records")
     # A revisit's payload is that of the response it names.
     sizes = (
         records.filter(F.col("kind") == "response")
