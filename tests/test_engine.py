@@ -362,3 +362,33 @@ def test_stream(spark, tmp_path):
     got = {r.version: r.metadata for r in log.collect()}
     assert len(got) == 2 and set(got.values()) == {"2", "3"}
     assert spark.read.parquet(str(tmp_path / "out" / "failed")).count() == 1
+
+
+def test_services(foo, spark):
+    from aspectra.service import EntityService, SearchService, Services
+
+    log = spark.createDataFrame([("urn:li:foo:1", "AspectFoo", 0, '{"value":"a"}', T0, "x", None)], "urn string, aspect string, version long, metadata string, createdon timestamp, createdby string, createdfor string")
+    s = EntityService(Registry().add(FOO), FOO, foo, log)
+    one = spark.createDataFrame([("urn:li:foo:1",)], "urn string")
+    assert [(r.aspect, r.value) for r in s.get("urn:li:foo:1").collect()] == [("AspectFoo", '{"value":"a"}')]
+    assert s.get_asset(one).first().AspectFoo == '{"value":"a"}'
+    assert listed(s.filter(count=2)) == ["1", "2"] and s.filter_page().total == 5
+    assert [r.aspects for r in s.backfill(["AspectFoo"]).collect()] == [["AspectFoo"]]
+    assert [r.version for r in s.versions("AspectFoo", "urn:li:foo:1").collect()] == [0]
+    s.routes["AspectFoo"] = lambda urns: urns.select("urn", F.lit("far").alias("value"))
+    assert s.get("urn:li:foo:1", ["AspectFoo"]).first().value == "far"
+    s.routes.clear()
+    news = spark.createDataFrame([("urn:li:foo:1", "AspectFoo", '{"value":"b"}', T0, "y")], "urn string, aspect string, value string, at timestamp, by string")
+    s.ingest("AspectFoo", news)
+    assert s.log.count() == 2
+    with pytest.raises(ValueError):
+        s.get("urn:li:foo:1", ["Nothing"])
+    every = Services({"foo": s})
+    assert listed(every.list_urns("foo", "urn:li:foo:2", 2)) == ["3", "4"]
+    assert every.backfill(one, ["AspectFoo"]).count() == 1
+    with pytest.raises(ValueError):
+        every.list_urns("bar")
+    docs = spark.createDataFrame([("urn:li:foo:1", ["Cheese"]), ("urn:li:foo:6", ["cheese", "Ham"])], "urn string, toppings array<string>")
+    find = SearchService(Document("D", boosts={"toppings": 1.0}, fields=("toppings",), default_autocomplete="toppings"), docs, s)
+    assert [r.urn[-1] for r in find.with_entities(find.search("cheese"), ["AspectFoo"]).collect()] == ["1", "6"]
+    assert find.autocomplete("ha").first().suggestion == "Ham"
