@@ -147,6 +147,53 @@ def with_current(changes: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+def split_conflicts(joined: DataFrame, expected: str = "expected_time") -> tuple[DataFrame, DataFrame]:
+    """(writable, conflicting): optimistic locking by the stored time.
+
+    A change that expects a time other than the stored one (in milliseconds;
+    null expects that nothing is stored) conflicts and is to be retried.
+    """
+    fits = F.col(expected).eqNullSafe(F.col("old_time"))
+    return joined.filter(fits), joined.filter(~fits)
+
+
+def sequential(changes: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
+    """Decides several changes of one key one after the other.
+
+    (urn, aspect, *order, value, write): each change is compared with the
+    value that was accepted before it: equal values and lower semantic
+    versions are skipped.  A key's changes are folded in order as one array in
+    the JVM, since each decision needs the one before; batches should hold few
+    changes of one key.
+    """
+    now = with_current(changes.select("urn", "aspect").distinct().withColumn("value", F.lit(None).cast("string")), log)
+    start = now.select(F.lower("urn").alias("_u"), F.col("urn").alias("_stored"), F.col("aspect").alias("_a"), "old_value")
+    grouped = changes.groupBy("urn", "aspect").agg(F.sort_array(F.collect_list(F.struct(*order, "value"))).alias("all"))
+    rows = grouped.join(start, (F.lower(grouped["urn"]) == F.col("_u")) & (grouped["aspect"] == F.col("_a")))
+    kind = rows.schema["all"].dataType.elementType.simpleString()
+    zero = F.struct(
+        F.col("old_value").alias("now"),
+        F.array().cast(f"array<struct<change:{kind},write:boolean>>").alias("out"),
+    )
+
+    def step(state, change):
+        old, new = state["now"], change["value"]
+        same = (old.isNull() & new.isNull()) | (old.isNotNull() & new.isNotNull() & structural(old, new))
+        lower = old.isNotNull() & new.isNotNull() & (semantic_version(new) < semantic_version(old))
+        write = ~(F.coalesce(same, F.lit(False)) | F.coalesce(lower, F.lit(False)))
+        return F.struct(
+            F.when(write, new).otherwise(old).alias("now"),
+            F.array_append(state["out"], F.struct(change.alias("change"), write.alias("write"))).alias("out"),
+        )
+
+    folded_rows = rows.select(
+        F.coalesce("_stored", grouped["urn"]).alias("urn"),
+        grouped["aspect"],
+        F.explode(F.aggregate("all", zero, step, lambda s: s["out"])).alias("d"),
+    )
+    return folded_rows.select("urn", "aspect", *[F.col(f"d.change.{c}").alias(c) for c in [*order, "value"]], F.col("d.write").alias("write"))
+
+
 # -- writes -------------------------------------------------------------------
 
 
@@ -381,6 +428,22 @@ def raw_add(changes: DataFrame, log: DataFrame, equality: Equality = structural)
     return apply_changes(log, decided), audit_events(decided)
 
 
+def generic_save(changes: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Type-erased writes: (new log, events).
+
+    Equal values are skipped, and backfills that are not newer than the stored
+    audit time; deletions give no events.
+    """
+    joined = with_current(changes, log)
+    stale = F.coalesce(F.col("backfill"), F.lit(False)) & F.col("old_exists") & ~F.coalesce(
+        F.col("emit_time") > F.col("old_time"), F.lit(False)
+    )
+    decided = decide(joined.withColumn("_stale", stale).withColumn("backfill", F.lit(False)))
+    decided = decided.withColumn("write", F.col("write") & ~F.col("_stale"))
+    events = audit_events(decided).filter(F.col("newValue").isNotNull())
+    return apply_changes(log, decided), events
+
+
 def add(registry: Registry, aspect: str, changes: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole write path of one aspect: (new log, events, dead letters).
 

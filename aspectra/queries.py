@@ -729,6 +729,35 @@ def snk_3_events(spark, d):
     return out.select("urn", "aspect", "changeType", "ingestionMode", "topic")
 
 
+@query(f"WITH {_NEWS} SELECT urn, aspect, kk % 4 <> 0 AS writable FROM n")
+def wr_7_optimistic_lock(spark, d):
+    """Changes that expect another time than the stored one conflict."""
+    news = ingest.with_current(_news(spark, d), _log(spark, d))
+    k = F.get_json_object("old_value", "$.k").cast("long")
+    news = news.withColumn("expected_time", F.col("old_time") - F.when(k % 4 == 0, 1).otherwise(0))
+    good, bad = ingest.split_conflicts(news)
+    return good.select("urn", "aspect", F.lit(True).alias("writable")).unionByName(bad.select("urn", "aspect", F.lit(False).alias("writable")))
+
+
+@query(f"WITH {_NEWS} SELECT urn, aspect, 'UPDATE' AS changeType FROM n WHERE (NOT backfill OR emit > old_time) AND (forced OR NOT same)")
+def wr_18_generic_save(spark, d):
+    _, events = ingest.generic_save(_news(spark, d), _log(spark, d))
+    return events.select("urn", "aspect", "changeType")
+
+
+@query(
+    """WITH x AS (SELECT *, value > 100 AS v, lag(value > 100) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b,
+row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events)
+SELECT event_id, r = 1 OR v <> b AS write FROM x"""
+)
+def wr_1_sequential(spark, d):
+    """Changes of one key decided one after the other."""
+    rows = driver.changes(spark, d)
+    rows = rows.withColumn("value", (F.get_json_object("metadata", "$.value").cast("double") > 100).cast("string"))
+    none = _log(spark, d).filter("false")
+    return ingest.sequential(rows, none, ["createdon", "event_id"]).select("event_id", "write")
+
+
 @query(f"WITH {L} SELECT urn, aspect, true AS deleted, CAST(0 AS BIGINT) AS version FROM l WHERE aspect = 'click' AND version = 0")
 def wr_4_delete_aspect(spark, d):
     log = _log(spark, d).filter("aspect = 'click'")

@@ -54,7 +54,7 @@ def entity_types(spark: SparkSession) -> list[str]:
 def estimated_rows(df: DataFrame) -> int:
     """Rows by the optimiser's statistics, or else by counting file metadata."""
     stats = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
-    return int(stats.get().toString()) if stats.isDefined() else df.count()
+    return int(str(stats.get())) if stats.isDefined() else df.count()
 
 
 def compacted(table: DataFrame, columns: dict) -> DataFrame:

@@ -392,3 +392,33 @@ def test_services(foo, spark):
     find = SearchService(Document("D", boosts={"toppings": 1.0}, fields=("toppings",), default_autocomplete="toppings"), docs, s)
     assert [r.urn[-1] for r in find.with_entities(find.search("cheese"), ["AspectFoo"]).collect()] == ["1", "6"]
     assert find.autocomplete("ha").first().suggestion == "Ham"
+
+
+def test_sequential_versions(spark):
+    """A lower semantic version is compared with what was accepted last."""
+    v = lambda n: '{"baseSemanticVersion":{"major":%d,"minor":0,"patch":0}}' % n
+    log = spark.createDataFrame([("urn:li:foo:1", "a", 0, v(2), T0, "x", None)], "urn string, aspect string, version long, metadata string, createdon timestamp, createdby string, createdfor string")
+    news = spark.createDataFrame([("urn:li:foo:1", "a", i, x) for i, x in enumerate([v(1), v(3), v(2), v(3), None, v(1)])], "urn string, aspect string, s int, value string")
+    got = {r.s: r.write for r in ingest.sequential(news, log, ["s"]).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: False, 4: True, 5: True}
+
+
+def test_catalogue_and_statistics(spark, foo, tmp_path):
+    from aspectra.sources import tables
+
+    foo.createOrReplaceTempView("metadata_entity_foo")
+    foo.createOrReplaceTempView("metadata_entity_foo_test")
+    assert tables.entity_types(spark) == ["foo"]
+    assert tables.estimated_rows(spark.range(7)) == 7
+    log = spark.createDataFrame([("u", "a", 0, "1"), ("u", "b", 0, "2")], "urn string, aspect string, version long, metadata string")
+    tables.write_log(log, str(tmp_path))
+    assert [r.metadata for r in tables.read_log(spark, str(tmp_path), "b").collect()] == ["2"]
+    wide = tables.compacted(foo, {"i_aspectfoo$value": F.get_json_object("a_aspectfoo", "$.aspect.value")})
+    wide.write.parquet(str(tmp_path / "metadata_entity_foo"))
+    assert "i_aspectfoo$value" in tables.read_entity(spark, str(tmp_path), "foo").columns
+
+
+def test_expression_index(foo):
+    e = Entity("foo", {"A": Aspect("aspectfoo", expressions={"/upper": lambda c: F.upper(F.get_json_object(c, "$.aspect.value"))})})
+    wanted = IndexFilter((IndexCriterion("A", "/upper", Condition.EQUAL, "B"),))
+    assert listed(index.list_urns(foo, e, wanted)) == ["6"]
