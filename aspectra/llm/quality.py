@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import require, text_or_empty
 
 #: Labelled rows that the regressions are fitted on, at most.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Words that the toxicity regression may use, at most.
-FIT_WORDS = 2_000
+FIT_WORDS = 400
 #: Labelled documents that a word must be in to be used, and their least share.
 LEAST_DOCS, LEAST_SHARE = 5, 0.0015
 #: Sites up to this number are broadcast; more are joined by a shuffle.
@@ -404,13 +404,20 @@ def keep_good(
     """The rows of ``docs`` that are kept, with their own columns.
 
     Texts are scored twice rather than shuffled: once for the sites'
-    posteriors, once to decide.
+    posteriors, once to decide.  Nulls, repeated rows and empty tables are as
+    in :func:`quality_posteriors`.
     """
     from .common import written
 
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    narrow = docs.select(*dict.fromkeys([host, path, text_col]))
+    # Numbered columns: no name of the caller's can clash with one of ours.
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    host, path, text = (own[names.index(c)] for c in (host, path, text_col))
+    plain = docs.toDF(*own)
+    narrow = plain.select(*dict.fromkeys([host, path, text]))
     sites = written(
-        site_posteriors(with_evidence(narrow, model, text_col, keep=False), host, path), "sites"
+        site_posteriors(with_evidence(narrow, model, text, keep=False), host, path), "sites"
     )
-    return judged(docs, model, sites, host, path, text_col).filter("_keep").select(*docs.columns)
+    kept = judged(plain, model, sites, host, path, text).filter("_keep")
+    return kept.select(*own).toDF(*names)
