@@ -14,6 +14,7 @@ ENTITY_TABLE_PREFIX = "metadata_entity_"
 EDGE_TABLE_PREFIX = "metadata_relationship_"
 LOG_TABLE = "metadata_aspect"
 TEST_SUFFIX = "_test"
+SCHEMA_PREFIX = "pegasus."
 LATEST_VERSION = 0
 STAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 CURSOR_STAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"

@@ -16,6 +16,7 @@ from .. import formats
 from ..functions.envelopes import deletion, field, is_live, is_marker, unwrap
 from ..model import Entity
 from ..plans.criteria import Page
+from ..sources.scratch import written
 
 #: Key sets up to this number of rows, counted first, are broadcast.
 BROADCAST_KEYS = 100_000
@@ -150,7 +151,8 @@ def get_cells(
 
 def exists(table: DataFrame, urns: DataFrame) -> DataFrame:
     """(urn, exists): whether the wide table has a live row."""
-    live = table.filter(F.col("deleted_ts").isNull()).select("urn").distinct().withColumn("_here", F.lit(True))
+    # Urns are the table's key: no need to make them distinct.
+    live = table.filter(F.col("deleted_ts").isNull()).select("urn", F.lit(True).alias("_here"))
     return urns.select("urn").distinct().join(live, "urn", "left").select(
         "urn", F.coalesce("_here", F.lit(False)).alias("exists")
     )
@@ -296,12 +298,16 @@ def shadow_read(local: DataFrame, shadow: DataFrame) -> DataFrame:
 def new_ids(existing: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
     """Numbers after the largest of (namespace, id) for rows of a namespace.
 
-    Rows are numbered within partitions of a range sort and shifted by the
-    partitions' totals, so no namespace is sorted in one task.
+    Rows are sorted by ranges and written with their partition and place; the
+    partitions' totals give each its first number.  So no namespace is sorted
+    in one task, and a repeated task cannot number rows otherwise.
     """
     top = existing.groupBy("namespace").agg(F.max("id").alias("_top"))
     ranged = rows.repartitionByRange("namespace", *order).sortWithinPartitions("namespace", *order)
-    marked = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
+    marked = written(
+        ranged.withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()),
+        "numbered",
+    )
     totals = marked.groupBy("namespace", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     before = Window.partitionBy("namespace").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select("namespace", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -344,12 +346,12 @@ def replace_edges(live: DataFrame, update: DataFrame, now: Column, option: str =
 
     ``update`` has the columns of ``live``; its sources with a null
     destination only clear.  ``same_aspect`` spares edges of other aspects; a
-    ``pegasus.`` prefix of aspect names does not count.
+    schema prefix of aspect names does not count.
     """
     keys = REMOVAL_KEYS[option]
     out = live
     if keys:
-        plain = lambda c: F.regexp_replace(c, r"^pegasus\.", "")
+        plain = lambda c: F.regexp_replace(c, "^" + re.escape(formats.SCHEMA_PREFIX), "")
         own = list(keys)
         marked = update.select(*keys, *([plain("aspect").alias("_a")] if same_aspect else [])).distinct().withColumn("_hit", F.lit(True))
         if same_aspect:

@@ -94,9 +94,8 @@ def total_count(table: DataFrame, entity: Entity, wanted: IndexFilter) -> int:
 
 
 def with_total(df: DataFrame) -> DataFrame:
-    """Rows with the count of all in ``_total_count``: a join with one row."""
-    total = df.agg(F.count(F.lit(1)).alias("_total_count"))
-    return df.join(F.broadcast(total))
+    """Rows with the count of all in ``_total_count``, counted first."""
+    return df.withColumn("_total_count", F.lit(df.count()).cast("long"))
 
 
 def get_aspects(table: DataFrame, entity: Entity, aspects: list[str], urns: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import formats
@@ -148,28 +148,34 @@ def facet_counts(
     the last criterion on another facet; ``all`` the hits that meet every
     criterion.  Buckets that count zero are left out.
     """
-    parts = []
+    if not facets:
+        return hits.sparkSession.createDataFrame([], "facet string, value string, count long")
+    entries = []
     for facet in facets:
         array = hits.schema[facet].dataType.typeName() == "array"
-        chosen = [c for c in criteria if c.field != facet and c.field in facets] if mode == "others" else criteria
+        chosen = criteria if mode == "all" else []
         if mode == "others":
-            chosen = chosen[-1:]
-        test = F.lit(True)
-        if mode != "plain" and chosen:
-            test = search_predicate(hits, chosen, analysed=True)
-        value = F.explode(F.array_distinct(facet)) if array else F.col(facet)
-        rows = hits.select(value.alias("value"), test.alias("_ok")).filter(F.col("value").isNotNull())
-        counted = rows.groupBy(F.col("value").cast("string").alias("value")).agg(
-            F.count(F.lit(1)).alias("_n"), F.count_if("_ok").alias("count")
-        )
-        top = counted.orderBy(F.desc("_n"), "value").limit(most)
-        parts.append(top.filter(F.col("count") > 0).select(F.lit(facet).alias("facet"), "value", "count"))
-    if not parts:
-        return hits.sparkSession.createDataFrame([], "facet string, value string, count long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            chosen = [c for c in criteria if c.field != facet and c.field in facets][-1:]
+        test = search_predicate(hits, chosen, analysed=True)
+        values = F.array_distinct(facet) if array else F.array(F.col(facet))
+        entries.append(_facet_entries(facet, F.coalesce(values, F.array().cast("array<string>")), test))
+    # All facets in one pass over the hits.
+    rows = hits.select(F.explode(F.flatten(F.array(*entries))).alias("e")).select("e.*")
+    counted = rows.filter(F.col("value").isNotNull()).groupBy("facet", "value").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_ok").alias("count")
+    )
+    rank = Window.partitionBy("facet").orderBy(F.desc("_n"), "value")
+    top = counted.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= most)
+    return top.filter(F.col("count") > 0).select("facet", "value", "count")
+
+
+def _facet_entries(facet: str, values: Column, test: Column) -> Column:
+    return F.transform(
+        values,
+        lambda v: F.struct(
+            F.lit(facet).alias("facet"), v.cast("string").alias("value"), F.coalesce(test, F.lit(False)).alias("_ok")
+        ),
+    )
 
 
 def _named(field: str, values: Column) -> Column:
@@ -260,8 +266,6 @@ def autocomplete_high(df: DataFrame, field: str, text: str, criteria: list[Searc
     Values keep the order of their first appearance; documents are taken whole
     until ``limit`` values are reached.
     """
-    from pyspark.sql import Window
-
     needle = text.lower()
     values = F.filter(_values(df, field), lambda v: F.lower(v).contains(needle))
     rows = df.filter(search_predicate(df, criteria)).select("urn", values.alias("_v"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import formats
 from .functions import envelopes, urns
 from .operators import aspects, browse, graph, index, ingest, search
 from .plans.criteria import (
@@ -663,7 +664,7 @@ def wr_12_replace_edges(spark, d):
     update = live.filter(key % 3 == 0).withColumn(
         "destination", F.when(key % 6 == 0, F.concat(F.lit("urn:li:nation:"), nation.cast("string")))
     )
-    update = update.withColumn("aspect", F.concat(F.lit("pegasus."), F.col("aspect")))
+    update = update.withColumn("aspect", F.concat(F.lit(formats.SCHEMA_PREFIX), F.col("aspect")))
     out = graph.replace_edges(live, update, F.lit(driver.STAMP).cast("timestamp"), same_aspect=True)
     return out.select("source", "destination", F.col("deleted_ts").isNotNull().alias("deleted"))
 

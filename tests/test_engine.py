@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aspectra import formats
 from aspectra.functions import envelopes, urns
 from aspectra.model import Aspect, Document, Entity, Registry, Relationship
 from aspectra.operators import aspects, browse, graph, index, ingest, search
@@ -24,8 +25,8 @@ from aspectra.plans.criteria import (
 )
 from aspectra.plans.predicates import index_condition, rel_condition, search_condition
 
-LEGACY = '{"gma_deleted":true}'
-RICH = '{"gma_deleted":true,"deleted_timestamp":5,"deleted_by":"urn:li:corpuser:a"}'
+LEGACY = '{"%s":true}' % formats.DELETED_FLAG
+RICH = '{"%s":true,"deleted_timestamp":5,"deleted_by":"urn:li:corpuser:a"}' % formats.DELETED_FLAG
 
 
 def cell(value):
