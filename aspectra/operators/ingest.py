@@ -209,6 +209,27 @@ def latest_per_key(changes: DataFrame, order: list[str]) -> DataFrame:
     return changes.groupBy("urn", "aspect").agg(picked).select("urn", "aspect", "_x.*").select(*changes.columns)
 
 
+def accepted_rows(decided: DataFrame) -> DataFrame:
+    """(urn, aspect, metadata, createdon, createdby) of the decided writes.
+
+    A null value becomes a marker.
+    """
+    gone = F.to_json(
+        F.struct(
+            F.lit(True).alias(formats.DELETED_FLAG),
+            F.unix_millis("at").alias(formats.DELETED_TIME),
+            F.col("by").alias(formats.DELETED_BY),
+        )
+    )
+    return decided.filter("write").select(
+        "urn",
+        "aspect",
+        F.coalesce(F.col("value"), gone).alias("metadata"),
+        F.col("at").alias("createdon"),
+        F.col("by").alias("createdby"),
+    )
+
+
 def apply_changes(log: DataFrame, decided: DataFrame, overwrite: bool = False) -> DataFrame:
     """The log after the decided writes.
 
@@ -216,24 +237,7 @@ def apply_changes(log: DataFrame, decided: DataFrame, overwrite: bool = False) -
     0; a null value writes a marker.  With ``overwrite`` no history is kept.
     Where nothing is written rows pass unchanged.
     """
-    writes = decided.filter("write").select(
-        F.col("urn"),
-        F.col("aspect"),
-        F.when(
-            F.col("value").isNull(),
-            F.to_json(
-                F.struct(
-                    F.lit(True).alias(formats.DELETED_FLAG),
-                    F.unix_millis("at").alias(formats.DELETED_TIME),
-                    F.col("by").alias(formats.DELETED_BY),
-                )
-            ),
-        )
-        .otherwise(F.col("value"))
-        .alias("metadata"),
-        F.col("at").alias("createdon"),
-        F.col("by").alias("createdby"),
-    )
+    writes = accepted_rows(decided)
     keys = writes.select("urn", "aspect").withColumn("_new", F.lit(True))
     largest = log.groupBy("urn", "aspect").agg(F.max("version").alias("_top"))
     moved = (

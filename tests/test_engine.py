@@ -351,18 +351,28 @@ def test_seed_file(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    from aspectra.streaming.changes import LOG, Store, event_stream, ingest as stream
+    from aspectra.streaming.changes import Store, event_stream, ingest as stream
 
     schema = "urn string, aspect string, value string, at timestamp, by string"
-    rows = [("urn:li:foo:1", "a", "1", T0, "x"), ("urn:li:foo:1", "a", "2", T0 + dt.timedelta(1), "x"), ("bad one", "a", "1", T0, "x")]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.createDataFrame([("urn:li:foo:1", "a", "3", T0, "x")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    day = lambda n: T0 + dt.timedelta(n)
+    batches = [
+        [("urn:li:foo:1", "a", "1", day(0), "x"), ("urn:li:foo:1", "a", "2", day(1), "x"), ("bad one", "a", "1", day(0), "x"), ("urn:li:foo:2", "a", "9", day(0), "x")],
+        [("urn:li:FOO:1".replace("FOO", "foo"), "a", "3", day(2), "x"), ("urn:li:foo:2", "a", "9", day(3), "x")],
+        [("urn:li:foo:1", "a", None, day(4), "x")],
+    ]
+    (tmp_path / "in").mkdir()
     source = event_stream(spark, str(tmp_path / "in"), T._parse_datatype_string(schema))
-    stream(spark, source, str(tmp_path / "out")).awaitTermination()
-    log = Store(spark, str(tmp_path / "out"), LOG).read(1)
-    got = {r.version: r.metadata for r in log.collect()}
-    assert len(got) == 2 and set(got.values()) == {"2", "3"}
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream(spark, source, str(tmp_path / "out"), compact_every=1).awaitTermination()
+    store = Store(spark, str(tmp_path / "out"))
+    log = {(r.urn, r.version): r.metadata for r in store.log(2).collect()}
+    assert {k: v for k, v in log.items() if k != ("urn:li:foo:1", 0)} == {("urn:li:foo:1", 1): "2", ("urn:li:foo:1", 2): "3", ("urn:li:foo:2", 0): "9"}
+    assert formats.DELETED_FLAG in log["urn:li:foo:1", 0]
     assert spark.read.parquet(str(tmp_path / "out" / "failed")).count() == 1
+    kinds = sorted(r.changeType for r in spark.read.parquet(str(tmp_path / "out" / "events")).collect())
+    assert kinds == ["CREATE", "CREATE", "DELETE", "UPDATE"]
+    assert store._children("base") == [1, 2] and store.history(0).count() == 2
 
 
 def test_services(foo, spark):
