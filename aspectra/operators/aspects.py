@@ -166,17 +166,27 @@ def exists_in_log(log: DataFrame, urns: DataFrame) -> DataFrame:
     )
 
 
-def deletion_info(table: DataFrame, urns: list[str], status: Column, status_on: Column, cells: list[str]) -> DataFrame:
-    """What deleting these assets would meet: at most 2000 urns.
+def _asked(table: DataFrame, urns: list[str] | DataFrame) -> DataFrame:
+    """(urn) of a batch: lists are limited, data frames are joined at any size."""
+    if isinstance(urns, DataFrame):
+        return urns.select("urn").distinct()
+    if len(urns) > formats.BATCH_DELETE_URNS:
+        raise ValueError(f"at most {formats.BATCH_DELETE_URNS} urns")
+    return table.sparkSession.createDataFrame([(u,) for u in set(urns)], "urn string")
+
+
+def deletion_info(
+    table: DataFrame, urns: list[str] | DataFrame, status: Column, status_on: Column, cells: list[str]
+) -> DataFrame:
+    """What deleting these assets would meet: at most 2000 listed urns.
 
     (urn, deleted_ts, removed, status_on, cells): deleted rows are included;
     ``cells`` maps columns to their values that are not null.
     """
-    if len(urns) > formats.BATCH_DELETE_URNS:
-        raise ValueError(f"at most {formats.BATCH_DELETE_URNS} urns")
+    asked = _asked(table, urns)
     pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in cells])
     kept = F.filter(pairs, lambda p: p["value"].isNotNull())
-    return table.filter(F.col("urn").isin(urns)).select(
+    return table.join(small(asked), "urn", "left_semi").select(
         "urn",
         "deleted_ts",
         F.coalesce(status.cast("boolean"), F.lit(False)).alias("removed"),
@@ -255,25 +265,26 @@ def retain_all(log: DataFrame) -> DataFrame:
 
 
 def soft_delete_assets(
-    table: DataFrame, urns: list[str], cutoff: str, status: Column, status_on: Column, now: Column
+    table: DataFrame, urns: list[str] | DataFrame, cutoff: str, status: Column, status_on: Column, now: Column
 ) -> DataFrame:
     """Sets deleted_ts where the asset is live, removed, and so since before.
 
     ``cutoff`` is text in the stored format and compared as text; it must be
-    written in full.  At most 2000 urns.
+    written in full.  At most 2000 listed urns.
     """
-    if len(urns) > formats.BATCH_DELETE_URNS:
-        raise ValueError(f"at most {formats.BATCH_DELETE_URNS} urns")
+    asked = _asked(table, urns)
     dt.datetime.strptime(cutoff, "%Y-%m-%d %H:%M:%S.%f")
     if len(cutoff) != 23:
         raise ValueError("the cutoff needs three fractional digits")
+    marked = table.join(small(asked.withColumn("_asked", F.lit(True))), "urn", "left")
     hit = (
-        F.col("urn").isin(urns)
+        F.coalesce("_asked", F.lit(False))
         & F.col("deleted_ts").isNull()
         & F.coalesce(status.cast("string") == "true", F.lit(False))
         & (status_on < F.lit(cutoff))
     )
-    return table.withColumn("deleted_ts", F.when(hit, now).otherwise(F.col("deleted_ts")))
+    out = marked.withColumn("deleted_ts", F.when(hit, now).otherwise(F.col("deleted_ts")))
+    return out.select(*table.columns)
 
 
 def compare_layouts(old: DataFrame, new: DataFrame) -> DataFrame:

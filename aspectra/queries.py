@@ -51,6 +51,8 @@ def query(sql: str | None = None):
 
 
 REG = driver.registry()
+#: A page that holds everything.
+ALL = 2_000_000_000
 CUSTOMER = REG.entity("customer")
 PART, PAGE = REG.documents["PartDocument"], REG.documents["PageDocument"]
 
@@ -84,7 +86,7 @@ G = """g AS (
   FROM pages)"""
 
 
-def _customers(spark, d, *criteria, size=2_000_000_000, sort=None, last=None):
+def _customers(spark, d, *criteria, size=ALL, sort=None, last=None):
     return index.list_urns(driver.customers(spark, d), CUSTOMER, IndexFilter(tuple(criteria)), sort, last, size)
 
 
@@ -331,22 +333,24 @@ def log_versions(spark, d):
     return driver.log(spark, d).select("event_id", "version")
 
 
-def _users(spark, n, step=1):
-    return spark.range(0, n, step).select(F.concat(F.lit("urn:li:user:"), F.col("id").cast("string")).alias("urn"))
+def _users(spark, d):
+    """All users of the log, and one who has no row."""
+    known = driver.changes(spark, d).select("urn").distinct()
+    return known.union(spark.createDataFrame([("urn:li:user:none",)], "urn string"))
 
 
-_KEYS = "k AS (SELECT 'urn:li:user:' || i AS urn FROM range(0, 40) t(i))"
+_KEYS = "k AS (SELECT DISTINCT 'urn:li:user:' || user_id AS urn FROM events UNION ALL SELECT 'urn:li:user:none')"
 
 
 @query(f"WITH {L}, {_KEYS} SELECT k.urn, 'click' AS aspect, l.v AS value, l.urn IS NOT NULL AS found FROM k LEFT JOIN l ON k.urn = l.urn AND l.aspect = 'click' AND l.version = 0")
 def get_1_latest(spark, d):
-    out = aspects.get(driver.log(spark, d), _users(spark, 40).withColumn("aspect", F.lit("click")))
+    out = aspects.get(driver.log(spark, d), _users(spark, d).withColumn("aspect", F.lit("click")))
     return out.select("urn", "aspect", F.get_json_object("metadata", "$.value").cast("double").alias("value"), "found")
 
 
 @query(f"WITH {L}, {_KEYS} SELECT k.urn, CAST(3 AS BIGINT) AS version, l.v AS value, l.urn IS NOT NULL AS found FROM k LEFT JOIN l ON k.urn = l.urn AND l.aspect = 'view' AND l.version = 3")
 def get_2_version(spark, d):
-    keys = _users(spark, 40).withColumn("aspect", F.lit("view")).withColumn("version", F.lit(3).cast("long"))
+    keys = _users(spark, d).withColumn("aspect", F.lit("view")).withColumn("version", F.lit(3).cast("long"))
     out = aspects.get(driver.log(spark, d), keys)
     return out.select("urn", "version", F.get_json_object("metadata", "$.value").cast("double").alias("value"), "found")
 
@@ -356,14 +360,14 @@ def get_2_version(spark, d):
 FROM k LEFT JOIN l ON k.urn = l.urn AND l.version = 0 AND aspect IN ('click', 'error') GROUP BY k.urn"""
 )
 def get_3_many(spark, d):
-    out = aspects.get_many(driver.log(spark, d), _users(spark, 40), ["click", "error"])
+    out = aspects.get_many(driver.log(spark, d), _users(spark, d), ["click", "error"])
     value = lambda a: F.get_json_object(F.element_at(F.col("values"), a), "$.value").cast("double")
     return out.select("urn", value("click").alias("click"), value("error").alias("error"))
 
 
 @query(f"WITH {L}, {_KEYS} SELECT l.urn, CAST(version AS BIGINT) AS version, CAST(epoch_us(ts) // 1000 AS BIGINT) AS time, 'urn:li:corpuser:loader' AS actor FROM l JOIN k USING (urn) WHERE aspect = 'signup' AND version = 0")
 def get_4_with_info(spark, d):
-    out = aspects.get_with_info(driver.log(spark, d), _users(spark, 40).withColumn("aspect", F.lit("signup")))
+    out = aspects.get_with_info(driver.log(spark, d), _users(spark, d).withColumn("aspect", F.lit("signup")))
     return out.select("urn", "version", F.col("audit.time").alias("time"), F.col("audit.actor").alias("actor"))
 
 
@@ -377,26 +381,27 @@ def get_5_with_deleted(spark, d):
     return out.select("urn", "deleted", "time", F.get_json_object("value", "$.name").alias("name"))
 
 
-_ASKED = "a AS (SELECT 'urn:li:customer:' || i AS urn, i FROM range(0, 3000, 7) t(i))"
+_ASKED = "a AS (SELECT urn FROM c UNION ALL SELECT 'urn:li:customer:none')"
 
 
-def _asked(spark):
-    return spark.range(0, 3000, 7).select(F.concat(F.lit("urn:li:customer:"), F.col("id").cast("string")).alias("urn"))
+def _asked(spark, d):
+    known = driver.customers(spark, d).select("urn")
+    return known.union(spark.createDataFrame([("urn:li:customer:none",)], "urn string"))
 
 
 @query(f"WITH {C}, {_ASKED} SELECT a.urn, coalesce(NOT gone, false) AS exists FROM a LEFT JOIN c USING (urn)")
 def get_7_exists(spark, d):
-    return aspects.exists(driver.customers(spark, d), _asked(spark))
+    return aspects.exists(driver.customers(spark, d), _asked(spark, d))
 
 
 @query(f"WITH {L}, {_KEYS} SELECT urn, urn IN (SELECT urn FROM l) AS exists FROM k")
 def get_7_exists_in_log(spark, d):
-    return aspects.exists_in_log(driver.log(spark, d), _users(spark, 40))
+    return aspects.exists_in_log(driver.log(spark, d), _users(spark, d))
 
 
 @query(f"WITH {L}, {_KEYS} SELECT upper(k.urn) AS urn, l.v AS value FROM k LEFT JOIN l ON k.urn = l.urn AND l.aspect = 'view' AND l.version = 0")
 def get_8_any_case(spark, d):
-    keys = _users(spark, 40).select(F.upper("urn").alias("urn"), F.lit("view").alias("aspect"))
+    keys = _users(spark, d).select(F.upper("urn").alias("urn"), F.lit("view").alias("aspect"))
     out = aspects.get(driver.log(spark, d), keys, fold_case=True)
     return out.select("urn", F.get_json_object("metadata", "$.value").cast("double").alias("value"))
 
@@ -418,11 +423,11 @@ def get_11_shadow_read(spark, d):
     return out.select("urn", "aspect", F.get_json_object("value", "$.value").cast("double").alias("value"), "matches")
 
 
-@query(f"WITH {C} SELECT urn, gone AS deleted, removed, CAST(CASE WHEN marked OR true THEN 2 END AS INTEGER) AS cells FROM c WHERE k < 500")
+@query(f"WITH {C} SELECT urn, gone AS deleted, removed, CAST(2 AS INTEGER) AS cells FROM c")
 def get_12_deletion_info(spark, d):
-    asked = [f"urn:li:customer:{i}" for i in range(500)]
+    table = driver.customers(spark, d)
     out = aspects.deletion_info(
-        driver.customers(spark, d), asked, F.col("i_status$removed"), F.get_json_object("a_status", "$.lastmodifiedon"), ["a_info", "a_status"]
+        table, table.select("urn"), F.col("i_status$removed"), F.get_json_object("a_status", "$.lastmodifiedon"), ["a_info", "a_status"]
     )
     return out.select("urn", F.col("deleted_ts").isNotNull().alias("deleted"), "removed", F.size("cells").alias("cells"))
 
@@ -464,12 +469,11 @@ def wr_10_retain_time(spark, d):
     return out.select("event_id")
 
 
-@query(f"WITH {C} SELECT urn FROM c WHERE (gone) OR (k < 1000 AND removed)")
+@query(f"WITH {C} SELECT urn FROM c WHERE gone OR removed")
 def wr_6_soft_delete(spark, d):
     df = driver.customers(spark, d)
-    asked = [f"urn:li:customer:{i}" for i in range(1000)]
     out = aspects.soft_delete_assets(
-        df, asked, "2024-06-01 00:00:00.000", F.col("i_status$removed"),
+        df, df.select("urn"), "2024-06-01 00:00:00.000", F.col("i_status$removed"),
         F.get_json_object("a_status", "$.lastmodifiedon"), F.lit("2024-07-01").cast("timestamp"),
     )
     return out.filter(F.col("deleted_ts").isNotNull()).select("urn")
@@ -501,24 +505,24 @@ def gr_1_find_entities(spark, d):
     return driver.graph(spark, d).find_entities("customer", _segment("BUILDING"), 10, 60).select("urn")
 
 
-@query(f"WITH {C} SELECT urn FROM c WHERE (segment = 'BUILDING' OR segment LIKE 'MACH%') AND NOT (urn = 'urn:li:customer:10') ORDER BY urn LIMIT 500")
+@query(f"WITH {C} SELECT urn FROM c WHERE (segment = 'BUILDING' OR segment LIKE 'MACH%') AND NOT (urn = 'urn:li:customer:10') ORDER BY urn")
 def gr_2_find_entities_v2(spark, d):
     f = AspectField("CustomerInfo", "/segment")
     tree = Logic("AND", (
         Logic("OR", (RelCriterion(f, Condition.EQUAL, "BUILDING"), RelCriterion(f, Condition.START_WITH, "MACH"))),
         Logic("NOT", (RelCriterion(UrnField(), Condition.EQUAL, "urn:li:customer:10"),)),
     ))
-    return driver.graph(spark, d).find_entities_v2("customer", RelFilter(logic=tree), 0, 500).select("urn")
+    return driver.graph(spark, d).find_entities_v2("customer", RelFilter(logic=tree), 0, ALL).select("urn")
 
 
-@query(f"WITH {C} SELECT urn FROM c WHERE CAST(balance AS VARCHAR) > '5' ORDER BY urn LIMIT 5000")
+@query(f"WITH {C} SELECT urn FROM c WHERE CAST(balance AS VARCHAR) > '5' ORDER BY urn")
 def rfl_2_text_order(spark, d):
     """Numbers compare as text here."""
     wanted = RelFilter((RelCriterion(AspectField("CustomerInfo", "/balance"), Condition.GREATER_THAN, "5"),))
-    return driver.graph(spark, d).find_entities("customer", wanted, 0, 5000).select("urn")
+    return driver.graph(spark, d).find_entities("customer", wanted, 0, ALL).select("urn")
 
 
-@query(f"WITH {C} SELECT urn FROM c WHERE segment IN ('BUILDING', 'FURNITURE') AND (CAST(nation AS VARCHAR) = '3' OR CAST(nation AS VARCHAR) = '4') ORDER BY urn LIMIT 5000")
+@query(f"WITH {C} SELECT urn FROM c WHERE segment IN ('BUILDING', 'FURNITURE') AND (CAST(nation AS VARCHAR) = '3' OR CAST(nation AS VARCHAR) = '4') ORDER BY urn")
 def rfl_4_flat_criteria(spark, d):
     """Same field: or.  Different fields: and."""
     n = AspectField("CustomerInfo", "/nation")
@@ -527,24 +531,23 @@ def rfl_4_flat_criteria(spark, d):
         RelCriterion(AspectField("CustomerInfo", "/segment"), Condition.IN, ["BUILDING", "FURNITURE"]),
         RelCriterion(n, Condition.EQUAL, "4"),
     ))
-    return driver.graph(spark, d).find_entities("customer", wanted, 0, 5000).select("urn")
+    return driver.graph(spark, d).find_entities("customer", wanted, 0, ALL).select("urn")
 
 
 @query(
-    f"""WITH {C}, {E} SELECT DISTINCT c.urn FROM e JOIN c ON c.urn = e.destination WHERE deleted IS NULL AND status = 'F' AND segment = 'MACHINERY'
-ORDER BY 1 LIMIT 200"""
+    f"""WITH {C}, {E} SELECT DISTINCT c.urn FROM e JOIN c ON c.urn = e.destination WHERE deleted IS NULL AND status = 'F' AND segment = 'MACHINERY'"""
 )
 def gr_3_hop_outgoing(spark, d):
-    return driver.graph(spark, d).traverse("order", RelFilter(), "PlacedBy", _status("F"), "customer", _segment("MACHINERY"), 1, 1, 0, 200).select("urn")
+    return driver.graph(spark, d).traverse("order", RelFilter(), "PlacedBy", _status("F"), "customer", _segment("MACHINERY"), 1, 1, 0, ALL).select("urn")
 
 
 @query(
     f"""WITH {C}, {E} SELECT DISTINCT e.source AS urn FROM e JOIN c ON c.urn = e.destination WHERE deleted IS NULL AND status = 'F' AND segment = 'MACHINERY'
-ORDER BY 1 LIMIT 200 OFFSET 20"""
+ORDER BY 1 OFFSET 20"""
 )
 def gr_4_hop_incoming(spark, d):
     wanted = RelFilter(_status("F").criteria, direction="INCOMING")
-    return driver.graph(spark, d).traverse("order", RelFilter(), "PlacedBy", wanted, "customer", _segment("MACHINERY"), 1, 1, 20, 200).select("urn")
+    return driver.graph(spark, d).traverse("order", RelFilter(), "PlacedBy", wanted, "customer", _segment("MACHINERY"), 1, 1, 20, ALL).select("urn")
 
 
 @query(
@@ -557,10 +560,10 @@ def gr_5_hop_undirected(spark, d):
     return driver.graph(spark, d).traverse("nation", start, "NextNation", RelFilter(direction="UNDIRECTED"), "nation", RelFilter(), 1, 1, 0, 100).select("urn")
 
 
-@query("SELECT DISTINCT 'urn:li:region:' || n_regionkey AS urn FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority <> '1-URGENT' AND o_orderkey < 3")
+@query("SELECT DISTINCT 'urn:li:region:' || n_regionkey AS urn FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority <> '1-URGENT'")
 def gr_15_path(spark, d):
     """Orders to customers to nations to regions."""
-    start = RelFilter((RelCriterion(UrnField(), Condition.IN, [f"urn:li:order:{i}" for i in range(3)]),))
+    start = RelFilter((RelCriterion(UrnField(), Condition.START_WITH, "urn:li:order:"),))
     hops = [("PlacedBy", "customer", OUT, RelFilter()), ("LocatedIn", "nation", OUT, RelFilter()), ("PartOf", "region", OUT, RelFilter())]
     return driver.graph(spark, d).traverse_path("order", start, hops).select("urn")
 
@@ -583,9 +586,9 @@ def gr_8_end_without_table(spark, d):
     return out.select("id", "source", "destination")
 
 
-@query(f"WITH {E} SELECT id, source, status FROM e WHERE deleted IS NULL AND status = 'O' ORDER BY id LIMIT 400")
+@query(f"WITH {E} SELECT id, source, status FROM e WHERE deleted IS NULL AND status = 'O'")
 def gr_9_wrapped(spark, d):
-    out = driver.graph(spark, d).find_relationships_v3("order", RelFilter(), "customer", RelFilter(), "PlacedBy", _status("O"), -1, 400, wrap="PlacedBy")
+    out = driver.graph(spark, d).find_relationships_v3("order", RelFilter(), "customer", RelFilter(), "PlacedBy", _status("O"), wrap="PlacedBy")
     return out.select("id", "source", F.get_json_object("relatedTo.placedBy", "$.status").alias("status"))
 
 
@@ -770,21 +773,20 @@ def wr_4_delete_aspect(spark, d):
 
 
 @query(
-    f"""WITH {L}, x AS (SELECT DISTINCT urn, aspect FROM l WHERE urn IN ('urn:li:user:1', 'urn:li:user:2'))
+    f"""WITH {L}, x AS (SELECT DISTINCT urn, aspect FROM l)
 SELECT urn, aspect, 'DELETE' AS change_type FROM x UNION ALL SELECT urn, aspect, 'DELETE_ALL' FROM x"""
 )
 def wr_5_delete_all(spark, d):
     log = _log(spark, d)
     table = ingest.wide_from_log(log, {"click": "a_click"})
-    some = table.filter(F.col("urn").isin("urn:li:user:1", "urn:li:user:2"))
-    return ingest.delete_all(log, table, some, F.lit("2024-03-01").cast("timestamp"), F.lit("x"))[2]
+    return ingest.delete_all(log, table, _users(spark, d), F.lit("2024-03-01").cast("timestamp"), F.lit("x"))[2]
 
 
-@query(f"WITH {C} SELECT urn, 'rejected' AS result FROM c WHERE NOT gone AND k % 10 = 0 UNION ALL SELECT urn, 'revived' FROM c WHERE gone AND k % 10 = 0")
+@query(f"WITH {C} SELECT urn, 'rejected' AS result FROM c WHERE NOT gone UNION ALL SELECT urn, 'revived' FROM c WHERE gone")
 def wr_3_create(spark, d):
     """Creating assets that exist: live ones are rejected, deleted ones revive."""
     table = driver.customers(spark, d)
-    new = table.filter(F.col("key") % 10 == 0).select("urn", "a_info")
+    new = table.select("urn", "a_info")
     after, rejected = ingest.create_assets(table, new)
     revived = after.join(new.select("urn"), "urn", "left_semi").join(rejected.select("urn"), "urn", "left_anti")
     return rejected.select("urn", F.lit("rejected").alias("result")).unionByName(
@@ -838,13 +840,13 @@ def _parts(spark, d):
     return driver.parts(spark, d)
 
 
-@query(f"WITH {P} SELECT urn FROM p WHERE brand IN ('Brand#1', 'Brand#2') ORDER BY urn LIMIT 100")
+@query(f"WITH {P} SELECT urn FROM p WHERE brand IN ('Brand#1', 'Brand#2')")
 def sfl_1_equal(spark, d):
-    out = search.filter_documents(_parts(spark, d), [SearchCriterion("brand", "Brand#1 , Brand#2")], None, 0, 100)
+    out = search.filter_documents(_parts(spark, d), [SearchCriterion("brand", "Brand#1 , Brand#2")], None, 0, ALL)
     return out.select("urn")
 
 
-@query(f"WITH {P} SELECT urn FROM p WHERE list_contains(words, 'red') AND size >= 10 AND size < 30 ORDER BY urn LIMIT 100")
+@query(f"WITH {P} SELECT urn FROM p WHERE list_contains(words, 'red') AND size >= 10 AND size < 30")
 def sfl_3_range(spark, d):
     wanted = [
         SearchCriterion("words", "red"),
@@ -852,17 +854,17 @@ def sfl_3_range(spark, d):
         SearchCriterion("size", " 30 ", Condition.LESS_THAN),
         SearchCriterion("type", "  "),
     ]
-    return search.filter_documents(_parts(spark, d), wanted, None, 0, 100).select("urn")
+    return search.filter_documents(_parts(spark, d), wanted, None, 0, ALL).select("urn")
 
 
-@query(f"WITH {P} SELECT urn FROM p WHERE contains(brand, '#1') AND starts_with(type, 'S') AND len(list_filter(words, lambda w: ends_with(w, 't'))) > 0 ORDER BY size DESC, urn LIMIT 80")
+@query(f"WITH {P} SELECT urn FROM p WHERE contains(brand, '#1') AND starts_with(type, 'S') AND len(list_filter(words, lambda w: ends_with(w, 't'))) > 0")
 def sfl_4_wildcards(spark, d):
     wanted = [
         SearchCriterion("brand", "#1", Condition.CONTAIN),
         SearchCriterion("type", "S", Condition.START_WITH),
         SearchCriterion("words", "t", Condition.END_WITH),
     ]
-    return search.filter_documents(_parts(spark, d), wanted, SearchSort("size", True), 0, 80).select("urn")
+    return search.filter_documents(_parts(spark, d), wanted, SearchSort("size", True), 0, ALL).select("urn")
 
 
 @query(
@@ -897,11 +899,11 @@ def agg_8_facets_of_all(spark, d):
 
 @query(
     f"""WITH {P} SELECT urn, CAST(32 AS DOUBLE) AS _score FROM p
-WHERE len(list_filter(words, lambda w: levenshtein(w, 'wdget') <= 1)) > 0 AND type = 'SMALL' ORDER BY urn LIMIT 60"""
+WHERE len(list_filter(words, lambda w: levenshtein(w, 'wdget') <= 1)) > 0 AND type = 'SMALL'"""
 )
 def se_1_search(spark, d):
     """A fuzzy term in a weighted field, with a post-filter."""
-    found = search.search(_parts(spark, d), PART, "wdget", [SearchCriterion("type", "small")], size=60)
+    found = search.search(_parts(spark, d), PART, "wdget", [SearchCriterion("type", "small")], size=ALL)
     return found.hits.select("urn", "_score")
 
 
@@ -910,9 +912,9 @@ def agg_10_total_hits(spark, d):
     return search.search(_parts(spark, d), PART, "wdget blue", version=2).total
 
 
-@query(f"WITH {P} SELECT urn, list_filter(words, lambda w: levenshtein(w, 'ring') <= 1) AS found FROM p WHERE len(list_filter(words, lambda w: levenshtein(w, 'ring') <= 1)) > 0 AND type = 'SMALL' ORDER BY urn LIMIT 40")
+@query(f"WITH {P} SELECT urn, list_filter(words, lambda w: levenshtein(w, 'ring') <= 1) AS found FROM p WHERE len(list_filter(words, lambda w: levenshtein(w, 'ring') <= 1)) > 0 AND type = 'SMALL'")
 def se_5_highlights(spark, d):
-    found = search.search(_parts(spark, d).filter("type = 'SMALL'"), PART, "ring", size=40)
+    found = search.search(_parts(spark, d).filter("type = 'SMALL'"), PART, "ring", size=ALL)
     return found.highlights.select("urn", F.transform("matches", lambda m: m["value"]).alias("found"))
 
 
@@ -932,11 +934,11 @@ def se_8_autocomplete_low(spark, d):
 
 
 @query(
-    f"""WITH {P}, x AS (SELECT lower(unnest(words)) AS t FROM p WHERE size = 7)
+    f"""WITH {P}, x AS (SELECT lower(unnest(words)) AS t FROM p)
 SELECT t AS token, substr(t, 1, n) AS gram FROM (SELECT DISTINCT t FROM x), range(3, 21) r(n) WHERE n <= length(t)"""
 )
 def se_10_edge_ngrams(spark, d):
-    words = _parts(spark, d).filter("size = 7").select(F.explode(F.flatten(F.transform("words", search.whitespace_tokens))).alias("token"))
+    words = _parts(spark, d).select(F.explode(F.flatten(F.transform("words", search.whitespace_tokens))).alias("token"))
     return words.distinct().select("token", F.explode(search.edge_ngrams(F.col("token"))).alias("gram"))
 
 
@@ -955,10 +957,10 @@ def snk_2_delete_documents(spark, d):
     return search.delete_documents(stored, stored.filter("type = 'SMALL'")).select("urn")
 
 
-@query(f"WITH {C} SELECT urn, CAST(k AS BIGINT) AS rank FROM c WHERE k % 9 = 0 AND NOT gone AND NOT marked")
+@query(f"WITH {C} SELECT urn, CAST(k AS BIGINT) AS rank FROM c WHERE NOT gone AND NOT marked")
 def jn_7_hits_with_entities(spark, d):
     table = driver.customers(spark, d)
-    hits = table.filter(F.col("key") % 9 == 0).select("urn", F.col("key").alias("rank"))
+    hits = table.select("urn", F.col("key").alias("rank"))
     cells = aspects.get_cells(table, CUSTOMER, ["CustomerInfo"], hits)
     return search.hits_with_entities(hits, cells).select("urn", "rank")
 
