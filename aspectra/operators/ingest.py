@@ -239,10 +239,11 @@ def apply_changes(log: DataFrame, decided: DataFrame, overwrite: bool = False) -
     """
     writes = accepted_rows(decided)
     keys = writes.select("urn", "aspect").withColumn("_new", F.lit(True))
-    largest = log.groupBy("urn", "aspect").agg(F.max("version").alias("_top"))
+    # The window has the join's partitioning: one exchange of the log.
+    top = F.max("version").over(Window.partitionBy("urn", "aspect"))
     moved = (
         log.join(keys, ["urn", "aspect"], "left")
-        .join(largest, ["urn", "aspect"])
+        .withColumn("_top", top)
         .withColumn("_moves", F.coalesce("_new", F.lit(False)) & (F.col("version") == formats.LATEST_VERSION))
     )
     if overwrite:
