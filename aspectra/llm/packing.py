@@ -24,7 +24,7 @@ from .bpe import WordCache, encoder_for, packed
 from .common import require, text_or_empty, written
 
 #: Pieces of one length that are ranked in one group, about.
-RUN = 200_000
+RUN = 1_000
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple]:
