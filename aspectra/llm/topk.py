@@ -24,9 +24,9 @@ from .common import require
 #: Vectors in a block.
 BLOCK = 256
 #: Blocks in a shard, at most about.
-SHARD_BLOCKS = 64
+SHARD_BLOCKS = 256
 #: Queries in a chunk, about.
-CHUNK = 2048
+CHUNK = 8192
 #: Sums below this are exact in double precision.
 EXACT = 2.0**52
 #: Scores beyond this are reported as this.
@@ -78,54 +78,80 @@ def search_shard(
     query_ids: np.ndarray,
     blocks: list[tuple[np.ndarray, np.ndarray]],
     k: int,
-) -> tuple[list[list[tuple[int, int]]], int]:
-    """Each query's k best (score, id) among the blocks, and block scorings.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query row, id, score) of each query's k best, and block scorings.
 
-    ``blocks``: (ids, matrix) each, ids ascending.  A query's own id is no
-    candidate.  Bounds are computed in doubles and widened by a relative
-    2**-40, so that rounding never prunes a block that matters.
+    ``blocks``: (ids, matrix) each.  A query's own id is no candidate.  Bounds
+    are computed in doubles and widened by a relative 2**-40, so that rounding
+    never prunes a block that matters.
     """
     low = np.stack([m.min(axis=0) for _, m in blocks]).astype(np.float64)
     high = np.stack([m.max(axis=0) for _, m in blocks]).astype(np.float64)
     q = queries.astype(np.float64)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     bounds = up @ high.T + down @ low.T
-    slack = (np.abs(up) @ np.abs(high).T + np.abs(down) @ np.abs(low).T) * 2.0**-40
-    bounds = bounds + slack
+    bounds += (np.abs(up) @ np.abs(high).T + np.abs(down) @ np.abs(low).T) * 2.0**-40
     order = np.argsort(-bounds, axis=1, kind="stable")
     n = len(queries)
-    best: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    active = np.ones(n, bool)
+    best_row, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    best_score = np.zeros(0, object if _wide(queries, blocks) else np.int64)
+    kth = np.full(n, -np.inf)  # the k-th best so far, as a double below it
+    active = np.arange(n)
     scored = 0
     for step in range(len(blocks)):
-        at = np.flatnonzero(active)
-        if not len(at):
+        # Later blocks' bounds are lower still; an equal bound may hold ties.
+        active = active[bounds[active, order[active, step]] >= kth[active]]
+        if not len(active):
             break
-        for b in np.unique(order[at, step]):
-            ids, matrix = blocks[b]
-            own = []
-            for i in at[order[at, step] == b]:
-                top = best[i]
-                if len(top) >= k and bounds[i, b] < -top[-1][0]:
-                    active[i] = False  # later blocks' bounds are lower still
-                else:
-                    own.append(i)
-            if not own:
-                continue
+        rows, ids, scores = [best_row], [best_id], [best_score]
+        chosen = order[active, step]
+        for b in np.unique(chosen):
+            own = active[chosen == b]
+            block_ids, matrix = blocks[b]
+            found = _products(queries[own], matrix)
             scored += len(own)
-            scores = _products(queries[own], matrix)
-            for row, i in zip(scores, own):
-                if len(row) > k + 1:
-                    # The k-th of all but one (the query itself) and its ties.
-                    edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                    near = np.flatnonzero(row >= edge)
-                else:
-                    near = range(len(row))
-                found = [
-                    (-int(row[j]), int(ids[j])) for j in near if ids[j] != query_ids[i]
-                ]
-                best[i] = sorted(best[i] + found)[:k]
-    return [[(-s, v) for s, v in top] for top in best], scored
+            near = found >= kth[own][:, None]
+            near &= block_ids[None, :] != query_ids[own][:, None]
+            if found.shape[1] > k + 1 and found.dtype != object:
+                # Among all but one (the query itself) only the k best and ties.
+                edge = np.partition(found, found.shape[1] - k - 1, axis=1)[:, -k - 1]
+                near &= found >= edge[:, None]
+            r, c = np.nonzero(near)
+            rows.append(own[r])
+            ids.append(block_ids[c])
+            scores.append(found[r, c])
+        row, vec, score = np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
+        rank = np.lexsort((vec, -score, row)) if score.dtype != object else np.array(
+            sorted(range(len(row)), key=lambda i: (row[i], -score[i], vec[i])), np.int64
+        )
+        row, vec, score = row[rank], vec[rank], score[rank]
+        first = np.searchsorted(row, row, side="left")
+        place = np.arange(len(row)) - first
+        full = np.flatnonzero(place == k - 1)
+        last = score[full].astype(np.float64)
+        kth[row[full]] = last - np.abs(last) * 2.0**-40
+        keep = place < k
+        best_row, best_id, best_score = row[keep], vec[keep], score[keep]
+    return best_row, best_id, best_score, scored
+
+
+def _wide(queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]]) -> bool:
+    """Whether some block's products need more than doubles hold exactly."""
+    most = float(np.abs(queries).max(initial=0))
+    return any(most * float(np.abs(m).max(initial=0)) * m.shape[1] >= EXACT for _, m in blocks)
+
+
+def packed_rows(ids: list[int], vectors: list[list[int]]) -> tuple[bytes, bytes, str]:
+    """(ids, matrix, type): integers in the smallest type that holds them."""
+    matrix = np.array(vectors, np.int64)
+    most = int(np.abs(matrix).max(initial=0))
+    kind = next(t for t in ("i1", "i2", "i4", "i8") if most < 2 ** (8 * int(t[1]) - 1))
+    return np.array(ids, np.int64).tobytes(), matrix.astype(kind).tobytes(), kind
+
+
+def unpacked_rows(ids: bytes, matrix: bytes, kind: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(matrix, kind).reshape(len(own), dim).astype(np.int64)
 
 
 def top_k(
@@ -154,12 +180,12 @@ def top_k(
     chunks = max(1, -(-n_asked // CHUNK))
 
     def pack(batches, size):
+        """Packed rows of at most ``size`` vectors of one length, ids ascending."""
         import pyarrow as pa
 
         for batch in batches:
             groups: dict[int, list[int]] = {}
-            vs = batch.column(1).to_pylist()
-            ids = batch.column(0).to_pylist()
+            ids, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, v in enumerate(vs):
                 groups.setdefault(len(v), []).append(i)
             out = []
@@ -167,22 +193,16 @@ def top_k(
                 own.sort(key=lambda i: ids[i])
                 for at in range(0, len(own), size):
                     part = own[at : at + size]
-                    out.append(
-                        (
-                            dim,
-                            ids[part[0]],
-                            np.array([ids[i] for i in part], np.int64).tobytes(),
-                            np.array([vs[i] for i in part], np.int64).tobytes(),
-                        )
-                    )
-            columns = list(zip(*out)) if out else [[], [], [], []]
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)],
-                names=["dim", "first", "ids", "matrix"],
-            )
-
-    schema = "dim int, first long, ids binary, matrix binary"
+                    packed = packed_rows([ids[i] for i in part], [vs[i] for i in part])
+                    out.append((dim, ids[part[0]], *packed))
+            if out:
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                    names=["dim", "first", "ids", "matrix", "kind"],
+                )
+
+    schema = "dim int, first long, ids binary, matrix binary, kind string"
     # Blocks are runs of ids: documents' ranges.  Both sides move as packed rows.
     blocks = (
         rows.repartitionByRange(shards, "id")
@@ -192,31 +212,28 @@ def top_k(
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     )
     asked = (
-        asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+        asked.repartition(chunks, "id")
+        .mapInArrow(lambda it: pack(it, CHUNK), schema)
+        .withColumn("chunk", F.pmod(F.xxhash64("dim", "first"), F.lit(chunks)).cast("int"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     )
+    columns = ["dim", "ids", "matrix", "kind"]
 
     def search(key, left, right):
         import pandas as pd
 
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = [(np.zeros(0, np.int64),) * 3]
         own: dict[int, list] = {}
-        for dim, _, ids, matrix in right[["dim", "first", "ids", "matrix"]].itertuples(index=False):
-            ids = np.frombuffer(ids, np.int64)
-            own.setdefault(dim, []).append((ids, np.frombuffer(matrix, np.int64).reshape(len(ids), dim)))
-        sizes = left["v"].map(len) if len(left) else []
-        for dim, part in own.items():
-            chosen = left[sizes == dim] if len(left) else left
-            if not len(chosen):
-                continue
-            q = np.stack([np.asarray(v, np.int64) for v in chosen["v"]])
-            tops, _ = search_shard(q, chosen["id"].to_numpy(), part, k)
-            for i, top in zip(chosen["id"], tops):
-                for score, v in top:
-                    out["query_id"].append(i)
-                    out["vec_id"].append(v)
-                    out["score"].append(max(-LONG, min(LONG, score)))
-        return pd.DataFrame(out)
+        for dim, ids, matrix, kind in right[columns].itertuples(index=False):
+            own.setdefault(dim, []).append(unpacked_rows(ids, matrix, kind, dim))
+        for dim, ids, matrix, kind in left[columns].itertuples(index=False):
+            if dim in own:
+                query_ids, q = unpacked_rows(ids, matrix, kind, dim)
+                row, vec, score, _ = search_shard(q, query_ids, own[dim], k)
+                score = np.array([max(-LONG, min(LONG, int(x))) for x in score], np.int64)
+                out.append((query_ids[row], vec, score))
+        query_id, vec_id, score = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "score": score})
 
     found = (
         asked.groupBy("chunk", "shard")

@@ -60,9 +60,9 @@ def test_blocks_are_pruned():
         blocks.append((np.arange(b * 50, b * 50 + 50), centre + rng.integers(-3, 4, (50, 8))))
     every = np.concatenate([m for _, m in blocks])
     queries, ids = every[::100], np.arange(0, 1000, 100)
-    tops, scored = search_shard(queries, ids, blocks, 5)
+    row, vec, score, scored = search_shard(queries, ids, blocks, 5)
     assert scored < 0.4 * len(queries) * len(blocks)
-    for q, i, top in zip(queries, ids, tops):
+    for i, (q, own) in enumerate(zip(queries, ids)):
         s = every @ q
-        want = sorted([(-int(s[j]), j) for j in range(1000) if j != i])[:5]
-        assert [(-a, b) for a, b in top] == want
+        want = sorted([(-int(s[j]), j) for j in range(1000) if j != own])[:5]
+        assert [(-int(a), int(b)) for a, b in zip(score[row == i], vec[row == i])] == want
