@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, text_or_empty
+from .common import bounded_sample, require, text_or_empty
 
 #: Corpus paragraphs used as examples without a licence, at most.
 SAMPLE_ROWS = 2_000
@@ -258,13 +258,10 @@ def train(corpus: list[str]) -> Classifier:
 
 def sample_paragraphs(docs: DataFrame, most: int, id_col: str, text_col: str) -> list[str]:
     """First paragraphs of the ``most`` documents with the least id hash."""
-    rows = (
-        docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
-        .select("id", F.substring(F.element_at(F.split("text", "\n", 2), 1), 1, 2000).alias("line"))
-        .orderBy(F.xxhash64("id"), "id", "line")
-        .limit(most)
-        .collect()
+    lines = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")).select(
+        "id", F.substring(F.element_at(F.split("text", "\n", 2), 1), 1, 2000).alias("line")
     )
+    rows = bounded_sample(lines, "id", most, "line").collect()
     return [r["line"] for r in rows]
 
 
