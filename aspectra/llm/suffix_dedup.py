@@ -47,8 +47,11 @@ from .common import require, text_or_empty
 SEED = 32
 #: Occurrences beyond which a seed's windows are hashed one by one.
 HOT = 2000
-#: Bytes of text in a batch of documents, about.
-BATCH_BYTES = 4 << 20
+#: Bytes of text in a batch of documents, about: the least, and the most, which
+#: large corpora come to, since a hot seed has a row for every batch.
+BATCH_BYTES, BATCH_MOST = 4 << 20, 64 << 20
+#: Batches up to which the least size holds.
+BATCHES = 100_000
 #: Windows that are sampled at a time.
 PIECE = 1 << 16
 #: Bytes that never occur in UTF-8 stand for what is outside a text.
@@ -402,7 +405,7 @@ def removed_runs(
         docs[id_col].cast("long").alias("id"), text_or_empty(text_col).alias("text")
     ).filter(F.col("id").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_batches = _ranges(total, BATCH_BYTES)
+    n_batches = _ranges(total, max(BATCH_BYTES, min(BATCH_MOST, total // BATCHES)))
     buckets = _ranges(total // 4, BATCH_BYTES)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_batches // 8)
     dealt = _dealt(rows, n_batches, parts)
