@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, text_or_empty
+from .common import bounded_sample, require, text_or_empty, written
 
 #: Labelled rows that the regressions are fitted on, at most.
 FIT_ROWS = 8_000
@@ -172,13 +172,11 @@ def fit(
     """
     require(docs, id_col, text_col)
     require(labels, id_col, "quality", "toxic")
-    marked = (
-        labels.select(labels[id_col].alias("id"), "quality", "toxic")
-        .dropna()
-        .dropDuplicates(["id"])
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(most)
-    )
+    usable = labels.select(labels[id_col].alias("id"), "quality", "toxic").dropna()
+    # Labels of one id that differ count once, as the larger pair.
+    usable = usable.groupBy("id").agg(F.max(F.struct("quality", "toxic")).alias("l"))
+    usable = usable.select("id", "l.quality", "l.toxic")
+    marked = written(bounded_sample(usable, "id", most), "marked-rows")
     chosen = {r["id"]: (int(r["quality"]), int(r["toxic"])) for r in marked.collect()}
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
@@ -201,8 +199,6 @@ def fit(
                 names=["id", "stats", "words"],
             )
 
-    from .common import written
-
     measured = written(
         sample.select("id", "text").mapInArrow(
             measure, f"id {kind}, stats array<double>, words array<string>"
@@ -363,8 +359,6 @@ def quality_posteriors(
     Texts are read twice (the labelled ones, and all); scores are written
     once and joined with the sites' posteriors.
     """
-    from .common import written
-
     require(docs, id_col, text_col, host, path)
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     narrow = docs.select(
@@ -407,8 +401,6 @@ def keep_good(
     posteriors, once to decide.  Nulls, repeated rows and empty tables are as
     in :func:`quality_posteriors`.
     """
-    from .common import written
-
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     # Numbered columns: no name of the caller's can clash with one of ours.
     names = docs.columns
