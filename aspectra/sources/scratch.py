@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -17,18 +19,41 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is unset (tests on one machine) a temporary folder is
     made once per application.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
+    )
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="aspectra-")
     return _LOCAL[app]
 
 
+#: (JVM, path) of what this application has made.
+_MADE: list[tuple[object, str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path under the shared folder.
+
+    What is there is deleted when the driver ends: frames that read it cannot
+    be used any longer then.
+    """
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append((spark._jvm, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for jvm, path in _MADE:
+        with contextlib.suppress(Exception):  # the JVM may have gone
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

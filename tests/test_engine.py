@@ -433,3 +433,12 @@ def test_expression_index(foo):
     e = Entity("foo", {"A": Aspect("aspectfoo", expressions={"/upper": lambda c: F.upper(F.get_json_object(c, "$.aspect.value"))})})
     wanted = IndexFilter((IndexCriterion("A", "/upper", Condition.EQUAL, "B"),))
     assert listed(index.list_urns(foo, e, wanted)) == ["6"]
+
+
+def test_scratch_tables(spark):
+    from aspectra.sources import scratch
+
+    out = scratch.written(spark.range(3).toDF("x"), "probe")
+    assert sorted(r.x for r in out.collect()) == [0, 1, 2]
+    assert scratch.shared_dir(spark) in out.inputFiles()[0] and scratch._MADE[-1][1].split("/")[-1].startswith("probe-")
+    assert scratch.fresh_path(spark, "a") != scratch.fresh_path(spark, "a")
