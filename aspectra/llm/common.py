@@ -2,46 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder used where the session names none (single-machine tests only).
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is unset (tests on one machine) a temporary folder is
-    made once per application.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="aspectra-")
-    return _LOCAL[app]
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from ..sources.scratch import fresh_path, shared_dir, written
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    This cuts lineage: a lost executor never makes later stages repeat what
-    led to the table.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_sample", "fresh_path", "require", "shared_dir", "spread", "text_or_empty", "written"]
 
 
 def require(df: DataFrame, *names: str) -> None:
@@ -66,3 +32,16 @@ def bounded_sample(df: DataFrame, key: str, most: int, *ties: str) -> DataFrame:
     share = min(1.0, 2.0 * most / n + 100.0 / n) if n else 1.0
     rank = F.pmod(F.xxhash64(key), F.lit(1 << 40))
     return df.filter(rank < int(share * (1 << 40))).orderBy(rank, key, *ties).limit(most)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read in fewer parts than there are.
+
+    Files of one row group are one task, however many cores wait.  Tables with
+    enough parts, and plans with an exchange of their own, pass as they are.
+    """
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)

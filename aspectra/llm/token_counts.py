@@ -20,6 +20,7 @@ import re
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -29,10 +30,62 @@ from .bpe import (
     NARROW_LETTERS,
     NARROW_NUMBERS,
     NARROW_WHITE,
+    SLICE,
     WHITE,
+    RowMerger,
     Vocabulary,
 )
-from .common import require, text_or_empty
+from .common import require, spread, text_or_empty
+
+
+#: Bytes of the longest pieces whose tables are filled as rows.
+ROW_BYTES = 32
+_BASE = 0x9E3779B97F4A7C15
+
+
+class IntTable:
+    """A hash table from 64-bit keys to small numbers, on whole arrays."""
+
+    def __init__(self, bits: int = 16):
+        self._make(bits)
+
+    def _make(self, bits: int) -> None:
+        self.bits, self.used = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.full(1 << bits, -1, np.int32)  # -1: free
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values; -1 for keys that are not there."""
+        at, mask = self._home(keys), (1 << self.bits) - 1
+        out = self.values[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & mask
+            out[open_] = self.values[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[at[open_]] != keys[open_])]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not there."""
+        if 2 * (self.used + len(keys)) > 1 << self.bits:
+            old = self.values >= 0
+            kept = self.keys[old], self.values[old]
+            self._make(max(self.bits + 1, (4 * (len(kept[0]) + len(keys))).bit_length()))
+            self.add(*kept)
+        self.used += len(keys)
+        at, mask, left = self._home(keys), (1 << self.bits) - 1, np.arange(len(keys))
+        while len(left):
+            free = self.values[at[left]] < 0
+            own = left[free]
+            self.values[at[own]], self.keys[at[own]] = values[own], keys[own]
+            # Of several that took one place the last has it.
+            lost = np.concatenate((left[~free], own[self.keys[at[own]] != keys[own]]))
+            at[lost] = (at[lost] + 1) & mask
+            left = lost
 
 
 class PrefixCounter(dict):
@@ -68,6 +121,18 @@ class PrefixCounter(dict):
         self.stable_pairs: dict[tuple[int, int], bool] = {}
         self.reachable: dict[int, bool] = {}
         self.tables: dict[bytes, tuple[int, ...]] = {}
+        self.rows = RowMerger(v.merges)
+        self.byte_ids = np.array(v.byte_ids, np.int32)
+        self.raw = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
+        self.powers = np.array([pow(_BASE, i, 1 << 64) for i in range(ROW_BYTES + 1)], np.uint64)
+        self.by_hash, self.pairs = IntTable(18), IntTable(18)
+        short = [t for t in self.tokens if len(t) <= ROW_BYTES]
+        whole, lengths = self._padded(short)
+        hashes = self._hashes(whole)[np.arange(len(short)), lengths]
+        ids = np.array([self.tokens[t] for t in short], np.int32)
+        self.by_hash.add(hashes ^ lengths.astype(np.uint64), ids)
+        self.alone = np.zeros(len(self.raw), bool)
+        self.alone[ids] = self._encode_to([[i] for i in ids.tolist()])
         names = sorted(v.specials, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
 
@@ -81,7 +146,7 @@ class PrefixCounter(dict):
         key = (left, right)
         known = self.stable_pairs.get(key)
         if known is None:
-            if len(self.stable_pairs) > 4 * CACHE_ENTRIES:
+            if len(self.stable_pairs) > CACHE_ENTRIES:
                 self.stable_pairs.clear()
             known = self._encodes_to(self.bytes[left] + self.bytes[right], [left, right])
             self.stable_pairs[key] = known
@@ -119,6 +184,115 @@ class PrefixCounter(dict):
                     break
         return tuple(count)
 
+    # -- many pieces -------------------------------------------------------
+
+    @staticmethod
+    def _padded(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes as rows, lengths)."""
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        width = int(lengths.max(initial=1))
+        out = np.zeros((len(raws), width), np.uint8)
+        out[np.arange(width)[None, :] < lengths[:, None]] = np.frombuffer(b"".join(raws), np.uint8)
+        return out, lengths
+
+    @staticmethod
+    def _hashes(rows: np.ndarray) -> np.ndarray:
+        """Polynomial hashes of every prefix of every row."""
+        out = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+        for i in range(rows.shape[1]):
+            out[:, i + 1] = out[:, i] * np.uint64(_BASE) + rows[:, i].astype(np.uint64) + np.uint64(1)
+        return out
+
+    def _encode_to(self, wanted: list[list[int]]) -> np.ndarray:
+        """For token sequences: whether their bytes encode to just them."""
+        raws = [b"".join([self.raw[i] for i in ids]) for ids in wanted]
+        out = np.zeros(len(wanted), bool)
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, 1 << 30)):
+            own = np.flatnonzero((size > low) & (size <= high))
+            for at in range(0, len(own), 1 << 14):
+                part = own[at : at + (1 << 14)].tolist()
+                rows, lengths = self._padded([raws[i] for i in part])
+                ids = np.where(np.arange(rows.shape[1])[None, :] < lengths[:, None], self.byte_ids[rows], -1)
+                merged = self.rows.merge(ids)
+                alive = merged >= 0
+                number = alive.sum(axis=1)
+                flat, ends = merged[alive], np.cumsum(number)
+                for k, i in enumerate(part):
+                    n = len(wanted[i])
+                    out[i] = number[k] == n and flat[ends[k] - n : ends[k]].tolist() == wanted[i]
+        return out
+
+    def _stable_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        found = self.pairs.find(keys)
+        new = np.unique(keys[found < 0])
+        if len(new):
+            if self.pairs.used > 2 * CACHE_ENTRIES:
+                self.pairs = IntTable(18)
+                new = np.unique(keys)
+            pairs = [[k >> 32, k & 0xFFFFFFFF] for k in new.tolist()]
+            self.pairs.add(new, self._encode_to(pairs).astype(np.int32))
+            found = self.pairs.find(keys)
+        return found > 0
+
+    def last_counts(self, raws: list[bytes]) -> np.ndarray:
+        """The last table entry of each piece of at most ROW_BYTES bytes.
+
+        The tables of all pieces are filled together, position by position,
+        by the same rule as in :meth:`table`.
+        """
+        rows, lengths = self._padded(raws)
+        hashes = self._hashes(rows)
+        n, width = rows.shape
+        last = np.full((n, width + 1), -1, np.int32)
+        count = np.zeros((n, width + 1), np.int32)
+        for i in range(1, width + 1):
+            todo = np.flatnonzero(lengths >= i)
+            for start in range(i):
+                if not len(todo):
+                    break
+                own = hashes[todo, i] - hashes[todo, start] * self.powers[i - start]
+                token = self.by_hash.find(own ^ np.uint64(i - start))
+                some = np.flatnonzero(token >= 0)
+                if not len(some):
+                    continue
+                token, at = token[some], todo[some]
+                good = self.alone[token] if start == 0 else self._stable_many(last[at, start], token)
+                last[at[good], i] = token[good]
+                count[at[good], i] = count[at[good], start] + 1
+                todo = np.delete(todo, some[good])
+        return count[np.arange(n), lengths]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Counts of all pieces not met so far."""
+        missing = [*(pieces - self.keys())]
+        if len(self) + len(missing) > CACHE_ENTRIES:
+            self.clear()
+            missing = [*pieces]
+        raws = [p.encode("utf-8", "surrogatepass") for p in missing]
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        for low, high in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 16), (16, 22), (22, ROW_BYTES)):
+            own = np.flatnonzero((size > low) & (size <= high)).tolist()
+            for at in range(0, len(own), 1 << 13):
+                part = own[at : at + (1 << 13)]
+                for i, c in zip(part, self.last_counts([raws[i] for i in part]).tolist()):
+                    self[missing[i]] = c
+
+    def count_many(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts; unseen pieces of a slice are met together."""
+        out, at, get = [], 0, self.__getitem__
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+                size += len(texts[end])
+                end += 1
+            split = [[(self.pieces(p), special) for p, special in self.segments(t)] for t in texts[at:end]]
+            self.learn({p for parts in split for own, special in parts if not special for p in own})
+            out += [sum(1 if special else sum(map(get, own)) for own, special in parts) for parts in split]
+            at = end
+        return out
+
     # -- units and texts ---------------------------------------------------
 
     def __missing__(self, piece: str) -> int:
@@ -280,8 +454,8 @@ def count_tokens(
         counter = counter_for(path)
         for batch in batches:
             size, total, cut = [], [], []
-            for text in batch.column(1).to_pylist():
-                n = counter.count(text)
+            texts = batch.column(1).to_pylist()
+            for text, n in zip(texts, counter.count_many(texts)):
                 size.append(len(text.encode("utf-8")))
                 total.append(n)
                 cut.append(len(text) if n <= budget else counter.cut(text, budget))
@@ -296,7 +470,7 @@ def count_tokens(
                 names=["id", "n_bytes", "n_tokens", "over_limit", "budget_chars"],
             )
 
-    picked = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
+    picked = spread(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")))
     return picked.mapInArrow(
         run,
         f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, budget_chars long",
