@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, require, text_or_empty, written
+from .common import bounded_sample, require, spread, text_or_empty, written
 
 #: Labelled rows that the regressions are fitted on, at most.
 FIT_ROWS = 8_000
@@ -179,7 +179,7 @@ def fit(
     marked = written(bounded_sample(usable, "id", most), "marked-rows")
     chosen = {r["id"]: (int(r["quality"]), int(r["toxic"])) for r in marked.collect()}
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
+    picked = spread(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")))
     # ``most`` bounds the marked rows.
     sample = picked.join(F.broadcast(marked), "id")
 
@@ -252,7 +252,7 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str = "text", keep: b
     replaced.
     """
     require(docs, text_col)
-    docs = docs.drop("_low", "_toxic")
+    docs = spread(docs.drop("_low", "_toxic"))
     names = [c for c in docs.columns if keep or c != text_col]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     place, kept = docs.columns.index(text_col), [docs.columns.index(c) for c in names]
@@ -293,30 +293,28 @@ def site_posteriors(evidence: DataFrame, host: str, path: str) -> DataFrame:
         .groupBy("_host", "_path")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     )
+    # One row a path: small beside the documents, and needed twice.
+    grouped = written(grouped, "site-sums")
     hosts = grouped.groupBy("_host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
     # Means and spreads of shares, one row: the prior's mean and strength.
-    share, noise = F.col("host_bad") / F.col("host_n"), 1 / F.col("host_n")
     world = hosts.agg(
-        (F.sum("host_bad") / F.sum("host_n")).alias("mean"),
-        F.var_pop(share).alias("spread"),
-        F.avg(noise).alias("noise"),
-    )
-    m = F.col("mean")
+        F.sum("host_bad") / F.sum("host_n"),
+        F.var_pop(F.col("host_bad") / F.col("host_n")),
+        F.avg(1 / F.col("host_n")),
+    ).first()
+    m, spread, noise = (0.5, 0.0, 1.0) if world[0] is None else world
     # Spread beyond what chance gives for shares of so many documents.
-    true_spread = F.greatest(F.col("spread") - m * (1 - m) * F.col("noise"), F.lit(1e-6))
-    strength = F.least(F.lit(1000.0), F.greatest(F.lit(5.0), m * (1 - m) / true_spread - 1))
-    world = world.select("mean", strength.alias("strength"))
-    hosts = hosts.join(F.broadcast(world)).withColumn(  # one row
-        "host_posterior",
-        (F.col("strength") * m + F.col("host_bad")) / (F.col("strength") + F.col("host_n")),
+    true_spread = max(spread - m * (1 - m) * noise, 1e-6)
+    strength = min(1000.0, max(5.0, m * (1 - m) / true_spread - 1))
+    hosts = hosts.withColumn(
+        "host_posterior", (F.lit(strength * m) + F.col("host_bad")) / (F.col("host_n") + strength)
     )
     paths = grouped.join(hosts, "_host").withColumn(
-        "path_posterior",
-        (F.col("strength") * F.col("host_posterior") + F.col("bad")) / (F.col("strength") + F.col("n")),
+        "path_posterior", (F.col("host_posterior") * strength + F.col("bad")) / (F.col("n") + strength)
     )
     logit = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
     shift = F.greatest(
-        F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), logit(F.col("path_posterior")) - logit(m))
+        F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), logit(F.col("path_posterior")) - logit(F.lit(m)))
     )
     return paths.select(
         "_host", "_path", "n", "host_posterior", "path_posterior", shift.alias("site_shift")
