@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import formats
-from .functions import envelopes, urns
+from .functions import envelopes, scalars, urns
 from .operators import aspects, browse, graph, index, ingest, search
 from .plans.criteria import (
     AspectField,
@@ -325,6 +325,54 @@ def prj_11_assets(spark, d):
     return wide.select("urn", value("a_click").alias("click"), value("a_view").alias("view"))
 
 
+@query(
+    """SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS bare, event_type = 'click' AS has_click,
+CASE WHEN event_type LIKE 'e%' THEN '"$[1]"' END AS at, CASE WHEN value > 100 THEN 'high' ELSE 'low' END AS level,
+replace(event_type, 'i', 'y') AS replaced FROM events"""
+)
+def fn_json_and_conditions(spark, d):
+    """JSON_EXTRACT, JSON_UNQUOTE, JSON_CONTAINS, JSON_SEARCH, IF, REPLACE."""
+    df = spark.read.parquet(f"{d}/events.parquet")
+    kind = F.col("event_type")
+    members = F.to_json(F.array(F.lit("x"), kind))
+    return df.select(
+        "event_id",
+        scalars.json_extract(F.col("props"), "$.k").alias("k"),
+        scalars.json_unquote(F.concat(F.lit('"'), kind, F.lit('"'))).alias("bare"),
+        scalars.json_contains(members, "click").alias("has_click"),
+        scalars.json_search(members, "e%").alias("at"),
+        scalars.if_(F.col("value") > 100, F.lit("high"), F.lit("low")).alias("level"),
+        F.replace(kind, F.lit("i"), F.lit("y")).alias("replaced"),
+    )
+
+
+@query(
+    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS stamp, strftime(ts, '%d/%m/%Y') AS day,
+date_trunc('second', ts) AS back FROM events"""
+)
+def fn_dates(spark, d):
+    """DATE_FORMAT and STR_TO_DATE."""
+    df = spark.read.parquet(f"{d}/events.parquet")
+    ts = F.col("ts").cast("timestamp")
+    text = scalars.date_format(ts, "%Y-%m-%dT%H:%i:%s")
+    return df.select(
+        "event_id",
+        scalars.date_format(ts, "%Y-%m-%d %T.%f").alias("stamp"),
+        scalars.date_format(ts, "%d/%m/%Y").alias("day"),
+        scalars.str_to_date(text, "%Y-%m-%dT%H:%i:%s").cast("timestamp_ntz").alias("back"),
+    )
+
+
+@query("SELECT coalesce(max(o_orderkey + 1), 0) AS top, count(DISTINCT o_custkey) AS customers, count(*) AS edges FROM orders")
+def agg_4_defaults(spark, d):
+    """COALESCE of MAX, COUNT and DISTINCT in one pass."""
+    return driver.placed_by(spark, d).agg(
+        F.coalesce(F.max("id"), F.lit(0)).alias("top"),
+        F.count_distinct("destination").alias("customers"),
+        F.count(F.lit(1)).alias("edges"),
+    )
+
+
 # -- the versioned log ----------------------------------------------------------
 
 

@@ -442,3 +442,18 @@ def test_scratch_tables(spark):
     assert sorted(r.x for r in out.collect()) == [0, 1, 2]
     assert scratch.shared_dir(spark) in out.inputFiles()[0] and scratch._MADE[-1][1].split("/")[-1].startswith("probe-")
     assert scratch.fresh_path(spark, "a") != scratch.fresh_path(spark, "a")
+
+
+def test_scalar_functions(spark):
+    from aspectra.functions import scalars
+
+    one = spark.range(1)
+    ask = lambda c: one.select(c).first()[0]
+    assert ask(scalars.json_unquote(F.lit('"a\\"b"'))) == 'a"b' and ask(scalars.json_unquote(F.lit("5"))) == "5"
+    assert ask(scalars.json_contains(F.lit("[1,2]"), 2)) and not ask(scalars.json_contains(F.lit('["2"]'), 3))
+    assert ask(scalars.json_contains(F.lit("true"), True)) and ask(scalars.json_contains(F.lit('"x"'), "x"))
+    assert ask(scalars.json_contains(F.lit(None).cast("string"), "x")) is None
+    assert ask(scalars.json_search(F.lit('["a","bc"]'), "b%")) == '"$[1]"' and ask(scalars.json_search(F.lit("[]"), "b%")) is None
+    assert ask(scalars.str_to_date(F.lit("no"), "%Y")) is None and ask(scalars.if_(F.lit(None).cast("boolean"), F.lit(1), F.lit(2))) == 2
+    with pytest.raises(ValueError):
+        scalars.date_pattern("%Q")
