@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, require, text_or_empty
+from .common import bounded_sample, require, spread, text_or_empty
 
 #: Corpus paragraphs used as examples without a licence, at most.
 SAMPLE_ROWS = 2_000
@@ -187,11 +187,27 @@ def similarity(words: list[str], family: str) -> tuple[float, int, int]:
     return best
 
 
+def _resembles(words: list[str], share: float = 0.4) -> bool:
+    """Whether a paragraph holds that much of some template in order.
+
+    Words in common, in any order, bound it and are counted first.
+    """
+    known = set(words)
+    for family, templates in TEMPLATES.items():
+        for template in templates:
+            own = words_of(template)
+            if sum(w in known for w in own) >= share * len(own):
+                if similarity(words, family)[0] >= share:
+                    return True
+                break
+    return False
+
+
 def _examples(corpus: list[str]) -> tuple[list[list[str]], list[str]]:
     """Training paragraphs and their families ("" for none); deterministic."""
     rng = np.random.default_rng(11)
     plain = [words_of(t) for t in corpus]
-    plain = [w for w in plain if w and max(similarity(w[:WINDOW], f)[0] for f in TEMPLATES) < 0.4]
+    plain = [w for w in plain if w and not _resembles(w[:WINDOW])]
     texts = [words_of(t) for t in LOOKALIKES for _ in range(8)]
     family = [""] * len(texts)
     texts += plain
@@ -335,7 +351,7 @@ def scan_licenses(
                     [owner, *(pa.array(c, k) for c, k in zip(columns[1:], kinds[1:]))], names=names
                 )
 
-    picked = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
+    picked = spread(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")))
     return picked.mapInArrow(
         run,
         f"id {kind}, paragraph int, family string, probability double, similarity double,"
