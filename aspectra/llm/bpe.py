@@ -25,17 +25,17 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import require, text_or_empty
+from .common import require, spread, text_or_empty
 
 #: Unicode White_Space, as a character class body.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Words a worker keeps before it starts afresh.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 #: Symbols of the longest fragments that are merged as rows.
 ROW_SYMBOLS = 64
 #: Characters of text that are split before unseen words are encoded.
-SLICE = 2_000_000
+SLICE = 4_000_000
 
 #: Characters for which the short word patterns below hold, and their classes.
 NARROW = re.compile("[^\\x00-\u012f\u0131-\u017f]")
@@ -413,7 +413,7 @@ def encode_documents(
                 [batch.column(0), pa.array(out, pa.binary())], names=["id", "ids"]
             )
 
-    picked = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
+    picked = spread(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")))
     return picked.mapInArrow(run, f"id {kind}, ids binary")
 
 
@@ -481,7 +481,7 @@ def round_trip_digests(
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    picked = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
+    picked = spread(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")))
     return picked.mapInArrow(
         run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
