@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import WordCache, encoder_for, packed
-from .common import require, text_or_empty, written
+from .common import require, spread, text_or_empty, written
 
 #: Pieces of one length that are ranked in one group, about.
 RUN = 1_000
@@ -128,7 +128,7 @@ def tokenized_pieces(
                 names=["id", "piece", "start", "length", "ids_crc32"],
             )
 
-    picked = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
+    picked = spread(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")))
     return picked.mapInArrow(
         run, f"id {kind}, piece int, start long, length long, ids_crc32 long"
     )
