@@ -61,3 +61,25 @@ def test_odd_rows(spark):
     nothing = labels.limit(0)
     assert quality.quality_posteriors(docs.limit(0), nothing).count() == 0
     assert quality.quality_posteriors(docs, nothing).filter("bad IS NULL").count() == 0
+
+
+def test_terms_without_a_matrix():
+    """The optimum of the dense fit, from lists of terms."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((600, 40)) < 0.1).astype(float)
+    x[:5] = 0
+    y = (rng.random(600) < quality.sigmoid(2 * x[:, 0] + 2 * x[:, 1] - x[:, 2] - 1)).astype(float)
+    dense = quality.Logistic.fit(x, y, penalty=0.1, raw=True)
+    weights, bias = quality.fit_terms([np.flatnonzero(r).tolist() for r in x], y, 40, penalty=0.1)
+    assert np.abs(weights - dense.weights).max() < 1e-4 and abs(bias - dense.bias) < 1e-4
+    assert quality.fit_terms([], np.zeros(0), 0)[0].size == 0
+
+
+def test_every_term_over_the_excess_is_used(spark):
+    """600 words that only toxic texts have, with two more terms from most of them."""
+    rng = np.random.default_rng(5)
+    bad = ["".join(rng.choice(list("bdgklmnp"), 6)) for _ in range(600)]
+    rows = [(i, " ".join(f"fine{'abcdefghij'[(i + k) % 10]}" for k in range(5)) + (" " + " ".join(bad) if i % 10 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert set(bad) <= quality.fit(docs, labels).words.keys()
