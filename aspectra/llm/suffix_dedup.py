@@ -105,13 +105,19 @@ def mixed(rows: np.ndarray) -> np.ndarray:
 class Batch:
     """Documents laid end to end, with the sample of every window."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], length: int):
-        order = np.argsort(ids, kind="stable")
-        self.ids = np.asarray(ids, np.int64)[order]
+    def __init__(self, ids: np.ndarray, texts: list[bytes], length: int, keys: np.ndarray | None = None):
+        keys = np.zeros(len(ids), np.int64) if keys is None else keys
+        order = np.lexsort((keys, ids))
+        if ((np.diff(ids[order]) == 0) & (np.diff(keys[order]) == 0)).any():
+            # The same order in every round, whatever order the rows come in.
+            order = sorted(range(len(ids)), key=lambda i: (ids[i], keys[i], texts[i]))
+        self.ids, self.keys = np.asarray(ids, np.int64)[order], np.asarray(keys, np.int64)[order]
         texts = [texts[i] for i in order]
         self.length = length
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1].astype(np.int64)
+        # Rows that repeat an id count their places from the first of them.
+        self.base = self.starts[np.searchsorted(self.ids, self.ids)]
         self.raw = b"".join(texts)
         self.data = np.frombuffer(self.raw, np.uint8)
         self._sample()
@@ -272,7 +278,7 @@ def _groups(bucket: np.ndarray):
 
 
 def _dealt(rows: DataFrame, batches: int, parts: int) -> DataFrame:
-    """(batch, n, ids, sizes, body): documents packed and compressed by batch."""
+    """(batch, n, ids, sizes, body): documents (their ids, then keys) packed and compressed by batch."""
 
     def run(arrow):
         import pyarrow as pa
@@ -283,12 +289,13 @@ def _dealt(rows: DataFrame, batches: int, parts: int) -> DataFrame:
             ids = chunk.column(0).to_numpy(zero_copy_only=False)
             batch = chunk.column(1).to_numpy(zero_copy_only=False)
             texts = [t.encode("utf-8") for t in chunk.column(2).to_pylist()]
+            keys = chunk.column(3).to_numpy(zero_copy_only=False)
             sizes = np.array([len(t) for t in texts], np.int64)
             out = [
                 (
                     b,
                     len(own),
-                    ids[own].astype(np.int64).tobytes(),
+                    ids[own].astype(np.int64).tobytes() + keys[own].astype(np.int64).tobytes(),
                     sizes[own].tobytes(),
                     packer.compress(b"".join([texts[i] for i in own])),
                 )
@@ -303,7 +310,7 @@ def _dealt(rows: DataFrame, batches: int, parts: int) -> DataFrame:
 
     number = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")
     return (
-        rows.select("id", number.alias("batch"), "text")
+        rows.select("id", number.alias("batch"), "text", "key")
         .mapInArrow(run, "batch int, n int, ids binary, sizes binary, body binary")
         .repartition(parts, "batch")
     )
@@ -312,14 +319,15 @@ def _dealt(rows: DataFrame, batches: int, parts: int) -> DataFrame:
 def _batch_of(pdf, length: int) -> Batch:
     import zstandard
 
-    unpack, ids, texts = zstandard.ZstdDecompressor(), [], []
+    unpack, ids, keys, texts = zstandard.ZstdDecompressor(), [], [], []
     for n, own, sizes, body in pdf[["n", "ids", "sizes", "body"]].itertuples(index=False):
         ids.append(np.frombuffer(own, np.int64, n))
+        keys.append(np.frombuffer(own, np.int64, n, 8 * n))
         raw, at = unpack.decompress(body) if any(sizes) else b"", 0
         for size in np.frombuffer(sizes, np.int64, n).tolist():
             texts.append(raw[at : at + size])
             at += size
-    return Batch(np.concatenate(ids), texts, length)
+    return Batch(np.concatenate(ids), texts, length, np.concatenate(keys))
 
 
 def _columns(bodies, kinds: list[str]) -> list[np.ndarray]:
@@ -389,20 +397,24 @@ def removed_runs(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_text: bool = False,
+    key_col: str | None = None,
 ) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per document.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept][, key]) per document.
 
     ``kept`` (binary, with ``keep_text``): the bytes that stay, concatenated.
     Null and empty texts lose nothing.  Ids must be integers and not null
-    (rows without an id are left out); rows that repeat an id are taken in any
-    order, one after the other.  An empty table gives an empty one.
+    (rows without an id are left out); rows that repeat an id are taken one
+    after the other, by ``key_col`` (an integer, unique per row, returned as
+    ``key``) or else by text.  An empty table gives an empty one.
     """
     require(docs, id_col, text_col)
     if length <= SEED:
         raise ValueError(f"length must be over {SEED}")
     spark = docs.sparkSession
     rows = docs.select(
-        docs[id_col].cast("long").alias("id"), text_or_empty(text_col).alias("text")
+        docs[id_col].cast("long").alias("id"),
+        text_or_empty(text_col).alias("text"),
+        (docs[key_col].cast("long") if key_col else F.lit(0).cast("long")).alias("key"),
     ).filter(F.col("id").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_batches = _ranges(total, max(BATCH_BYTES, min(BATCH_MOST, total // BATCHES)))
@@ -466,7 +478,7 @@ def removed_runs(
             keys, first, _ = own_known.digests(batch)
             rows = own_known.cold[first]
             seed, doc = batch.seed[rows], batch.ids[batch.owner[rows]]
-            at = batch.at[rows] - batch.starts[batch.owner[rows]]
+            at = batch.at[rows] - batch.base[batch.owner[rows]]
             for b, own in _groups(_bucket(seed, buckets)):
                 out.append((b, int(key[0]), 0, len(own), _body(seed[own], keys[own], doc[own], at[own])))
         if len(own_known.hot):
@@ -474,7 +486,7 @@ def removed_runs(
             _, first = np.unique(_both(one, two), return_index=True)
             one, two, window = one[first], two[first], window[first]
             owner = np.searchsorted(batch.starts, window, side="right") - 1
-            doc, at = batch.ids[owner], window - batch.starts[owner]
+            doc, at = batch.ids[owner], window - batch.base[owner]
             for b, own in _groups(_bucket(one, buckets)):
                 out.append((b, int(key[0]), 1, len(own), _body(one[own], two[own], doc[own], at[own])))
         return frame(out, sent_names)
@@ -531,7 +543,7 @@ def removed_runs(
         batch = _batch_of(left, length)
         rows, keys = wanted_rows(batch, right)
         seed, doc = batch.seed[rows], batch.ids[batch.owner[rows]]
-        at = batch.at[rows] - batch.starts[batch.owner[rows]]
+        at = batch.at[rows] - batch.base[batch.owner[rows]]
         contexts = batch.contexts(rows)
         return frame(
             [
@@ -571,9 +583,9 @@ def removed_runs(
 
     # Round 4: removed runs.
 
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text + ["key"] * bool(key_col)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (
-        ", kept binary" * keep_text
+        ", kept binary" * keep_text + ", key long" * bool(key_col)
     )
 
     def finish(key, left, right):
@@ -620,7 +632,7 @@ def removed_runs(
                 spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum())
                 kept = batch.data[start : start + size][~own].tobytes()
             row = [int(batch.ids[i]), size, gone, spans, hashlib.sha256(kept).hexdigest()]
-            out.append([*row, kept] if keep_text else row)
+            out.append([*row, *[kept] * keep_text, *[int(batch.keys[i])] * bool(key_col)])
         return frame(out, names)
 
     late = answers.filter(F.col("kind") < 3)

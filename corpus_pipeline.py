@@ -23,16 +23,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, labels, host="source", path="lang")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number per row, written so that it stays the same."""
+    return written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group stays.
+    """One row of each near-duplicate group stays: the least id, then the first.
 
     Groups are of five-word shingles at a similarity of 0.8 or more.  Rows
-    without an id are in no group and stay.
+    without an id are in no group and stay.  Rows, not ids, are left out.
     """
-    groups = similar_groups(docs.filter(F.col("doc_id").isNotNull()), words=5, similarity=0.8)
-    gone = groups.filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id"))
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    keyed = _keyed(docs)
+    groups = similar_groups(
+        keyed.filter(F.col("doc_id").isNotNull()), words=5, similarity=0.8, key_col="_key"
+    )
+    gone = groups.filter(F.col("key") != F.col("first")).select(F.col("key").alias("_key"))
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +47,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Texts that lose nothing stay as they are.  A cut may end inside a
     character; what is left of it is dropped, so texts stay UTF-8.  Documents
-    of which no character but white space is left go.
+    of which no character but white space is left go.  Rows that repeat an id
+    are cut each for itself.
     """
-    runs = removed_runs(docs, length=100, keep_text=True)
+    keyed = _keyed(docs)
+    runs = removed_runs(keyed, length=100, keep_text=True, key_col="_key")
     cut = runs.filter(F.col("n_removed") > 0).select(
-        F.col("id").alias("doc_id"), _clean(F.col("kept")).alias("_cut")
+        F.col("key").alias("_key"), _clean(F.col("kept")).alias("_cut")
     )
-    joined = docs.join(cut, "doc_id", "left").withColumn("_text", F.coalesce("_cut", "text"))
+    joined = keyed.join(cut, "_key", "left").withColumn("_text", F.coalesce("_cut", "text"))
     # Only texts that were cut down to nothing go; empty ones were empty before.
     joined = joined.filter(F.col("_cut").isNull() | (F.length(F.trim("_cut")) > 0))
     return joined.select(

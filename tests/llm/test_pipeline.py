@@ -91,3 +91,24 @@ def test_registered_queries_have_the_contract_columns(spark):
     assert set(registered) == {*columns, "pipeline"}
     for name, wanted in columns.items():
         assert wanted <= set(registered[name](spark, DATA).columns), name
+
+
+def test_repeated_rows_and_ids(spark, corpus):
+    """One of two equal rows stays, and texts that share an id with a copy stay."""
+    rng = random.Random(4)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abdegiklmnoprstu") for _ in range(6)) for _ in range(n))
+
+    twice, other, first, second, passage = prose(60), prose(60), prose(60), prose(60), prose(40)
+    rows = [(1, twice), (1, twice), (2, first), (3, first), (3, other), (4, second + passage)]
+    rows += [(5, passage + prose(40)), (5, passage + prose(50)), (6, twice[:150])]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    single = sorted((r.doc_id, r.text) for r in stages["near_duplicates"](spark, docs, corpus).collect())
+    assert single == sorted(set(rows) - {(3, first)})
+    cut = [(r.doc_id, r.text) for r in stages["repeated_passages"](spark, docs, corpus).collect()]
+    assert cut.count((1, twice)) == 1 and [i for i, _ in cut].count(1) == 1
+    assert (2, first) in cut and (3, other) in cut and (4, second + passage) in cut
+    fives = sorted(len(t) for i, t in cut if i == 5)
+    assert len(fives) == 2 and fives[0] < 300 and fives[1] < 370
