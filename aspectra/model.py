@@ -6,6 +6,7 @@ there an entity table for this type) is answered here at plan time.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -28,6 +29,7 @@ class Aspect:
     is_urn: bool = False
     required: tuple[str, ...] = ()
     defaults: dict[str, object] = field(default_factory=dict)
+    schema: str = ""
 
     def __post_init__(self):
         for path, kind in self.paths.items():
@@ -61,6 +63,19 @@ class Entity:
             raise ValueError(f"{name} is no aspect of {self.name}")
         return self.aspects[name]
 
+    def materialised(self, columns: list[str]) -> dict[str, tuple[str, str]]:
+        """column -> (cell column, JSON path) of the paths that are among ``columns``."""
+        out = {}
+        for a in self.aspects.values():
+            for path in a.paths:
+                inner = formats.path_segments(path)
+                where = f"$['/{'/'.join(inner)}']" if a.is_urn else f"$.aspect.{'.'.join(inner)}"
+                for separator in (self.separator, "$", "0"):
+                    name = formats.index_column(a.alias, path, separator)
+                    if name in columns:
+                        out[name] = (a.column, where)
+        return out
+
     def indexed(self, df: DataFrame, aspect: str, path: str) -> Column | None:
         """The column of an indexed path, or None where it is not indexed.
 
@@ -102,6 +117,29 @@ class Relationship:
             raise ValueError("a relationship has version 1 or 2")
 
 
+@dataclass(frozen=True)
+class EdgeFields:
+    """The relationship fields of an aspect: its schema, and field -> relationship."""
+
+    schema: str
+    fields: dict[str, str]
+    removal: str = "FROM_SOURCE"
+
+
+@dataclass(frozen=True)
+class Retention:
+    """What stays of an aspect's versions: at most so many, or none above an age."""
+
+    versions: int | None = None
+    age: dt.timedelta | None = None
+
+    def __post_init__(self):
+        if (self.versions is None) == (self.age is None):
+            raise ValueError("give the versions or the age")
+        if self.versions is not None and self.versions < 1:
+            raise ValueError("at least one version stays")
+
+
 @dataclass(frozen=True)
 class Document:
     """A search document: facets, low-cardinality fields, weights and so on."""
@@ -131,6 +169,8 @@ class Registry:
         self.lambdas: dict[str, list[Callable[[DataFrame], DataFrame]]] = {}
         self.pre_hooks: dict[str, list[Callable[[DataFrame], None]]] = {}
         self.post_hooks: dict[str, list[Callable[[DataFrame], None]]] = {}
+        self.retention: dict[str, Retention] = {}
+        self.edge_fields: dict[str, EdgeFields] = {}
         self.edge_builders: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.urn_paths: dict[str, Callable[[Column], dict[str, Column]]] = {}
 

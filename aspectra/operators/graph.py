@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from .. import formats
 from ..model import Registry
 from ..plans.criteria import Cursor, RelCriterion, RelFilter, UrnField, flattened
+from ..plans.pages import cut_by_key
 from ..plans.predicates import edge_resolver, entity_resolver, rel_predicate
+from .aspects import new_ids
 
 
 class Graph:
@@ -42,15 +44,15 @@ class Graph:
 
     # -- entities ---------------------------------------------------------
 
-    def find_entities(self, name: str, wanted: RelFilter = RelFilter(), offset: int = 0, count: int = 10) -> DataFrame:
+    def find_entities(self, name: str, wanted: RelFilter = RelFilter(), offset: int = 0, count: int | None = 10) -> DataFrame:
         """Entities by filter, in the order of urns; deleted ones included."""
         rows = self._entity(name, "st")
         where = self._where(name, "st", wanted)
         if where is not None:
             rows = rows.filter(where)
-        return rows.orderBy("urn").offset(max(0, offset)).limit(max(1, count))
+        return cut_by_key(rows, "urn", max(0, offset), None if count is None else max(1, count))
 
-    def find_entities_v2(self, name: str, wanted: RelFilter, offset: int = 0, count: int = 10) -> DataFrame:
+    def find_entities_v2(self, name: str, wanted: RelFilter, offset: int = 0, count: int | None = 10) -> DataFrame:
         """As :meth:`find_entities`, with a logical expression only."""
         if wanted.criteria:
             raise ValueError("only logical expressions are taken")
@@ -83,7 +85,7 @@ class Graph:
         min_hops: int = 1,
         max_hops: int = 1,
         offset: int = 0,
-        count: int = 10,
+        count: int | None = 10,
         compat: bool = False,
     ) -> DataFrame:
         """Entities one hop away, in the direction of ``edge_filter``.
@@ -101,7 +103,7 @@ class Graph:
         outgoing = edge_filter.direction == "OUTGOING"
         ends = hop.select(F.col("rt.destination" if outgoing else "rt.source").alias("urn"))
         found = self.entities[destination if outgoing else source].join(ends, "urn", "left_semi")
-        return found.orderBy("urn").offset(max(0, offset)).limit(max(1, count))
+        return cut_by_key(found, "urn", max(0, offset), None if count is None else max(1, count))
 
     def _undirected(self, source, source_filter, edge, edge_filter, destination, destination_filter, offset, count, compat):
         """First hop both ways, then the entities across any edge from there."""
@@ -117,7 +119,7 @@ class Graph:
         found = self.entities[source].join(forth.union(back).distinct(), "urn", "left_semi")
         if compat:
             return found
-        return found.orderBy("urn").offset(max(0, offset)).limit(max(1, count))
+        return cut_by_key(found, "urn", max(0, offset), None if count is None else max(1, count))
 
     def traverse_path(self, source: str, source_filter: RelFilter, hops: list[tuple[str, str, RelFilter, RelFilter]]) -> DataFrame:
         """Entities at the end of a list of (edge, entity, edge and entity filter)."""
@@ -263,22 +265,50 @@ class Graph:
         self._check(source, source_filter, destination, destination_filter, edge_filter, logical)
         rows = self._edges(source, source_filter, edge, edge_filter, destination, destination_filter, live=False)
         rows = scan_page(rows, cursor, size)
-        ids = [r[0] for r in rows.select("id").collect()]  # at most ``size``
+        page = rows.collect()  # at most ``size``: one job gives the page and where it ends
         following = None
-        if len(ids) == size and ids[-1] < cursor.max_id:
-            following = Cursor(edge, ids[-1], cursor.max_id, cursor.scan_start)
+        if len(page) == size and page[-1]["id"] < cursor.max_id:
+            following = Cursor(edge, page[-1]["id"], cursor.max_id, cursor.scan_start)
+        rows = rows.sparkSession.createDataFrame(page, rows.schema)
         return (wrapped(rows, wrap) if wrap else rows), following
 
+    def scan_pages(
+        self,
+        cursor: Cursor,
+        source: str | None = None,
+        source_filter: RelFilter | None = None,
+        destination: str | None = None,
+        destination_filter: RelFilter | None = None,
+        edge_filter: RelFilter = RelFilter(direction="OUTGOING"),
+        size: int = formats.KEYSET_PAGE,
+    ) -> DataFrame:
+        """All pages from ``cursor`` on, as rows with a page number from 0.
 
-def scan_page(edges: DataFrame, cursor: Cursor, size: int) -> DataFrame:
-    """Edges in (last, max] that were live at the scan's start, by id."""
+        What :meth:`scan` gives page after page, from one pass over the edges:
+        rows are sorted by ranges of ids and numbered by the ranges' totals.
+        """
+        if not 0 < size <= formats.KEYSET_PAGE:
+            raise ValueError(f"a page has 1 to {formats.KEYSET_PAGE} edges")
+        edge = cursor.table
+        self._check(source, source_filter, destination, destination_filter, edge_filter, False)
+        rows = self._edges(source, source_filter, edge, edge_filter, destination, destination_filter, live=False)
+        rows = seen_by(rows, cursor).withColumnRenamed("id", "_id").withColumn("namespace", F.lit(edge))
+        none = rows.limit(0).select("namespace", F.lit(0).cast("long").alias("id"))
+        numbered = new_ids(none, rows, ["_id"])
+        page = F.floor((F.col("id") - 1) / size).cast("long")
+        return numbered.withColumn("page", page).drop("id", "namespace").withColumnRenamed("_id", "id")
+
+
+def seen_by(edges: DataFrame, cursor: Cursor) -> DataFrame:
+    """Edges in (last, max] that were live at the scan's start."""
     start = F.to_timestamp(F.lit(cursor.scan_start), formats.CURSOR_STAMP_FORMAT)
     seen = F.col("deleted_ts").isNull() | (F.col("deleted_ts") > start)
-    return (
-        edges.filter((F.col("id") > cursor.last_id) & (F.col("id") <= cursor.max_id) & seen)
-        .orderBy("id")
-        .limit(size)
-    )
+    return edges.filter((F.col("id") > cursor.last_id) & (F.col("id") <= cursor.max_id) & seen)
+
+
+def scan_page(edges: DataFrame, cursor: Cursor, size: int) -> DataFrame:
+    """The first ``size`` of the cursor's edges, by id."""
+    return seen_by(edges, cursor).orderBy("id").limit(size)
 
 
 def _field(path: str):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import Entity
 from ..plans.criteria import IndexCriterion, IndexFilter, IndexSort, Page
 from ..plans.predicates import index_predicate
+from ..plans.pages import cut
 from .aspects import get_cells, page_of
 
 
@@ -46,13 +47,13 @@ def list_urns(
     wanted: IndexFilter = IndexFilter(),
     sort: IndexSort | None = None,
     last_urn: str | None = None,
-    size: int = 10,
+    size: int | None = 10,
 ) -> DataFrame:
-    """Up to ``size`` urns after ``last_urn``, which seeks by urn in any order."""
+    """Up to ``size`` urns (None: all) after ``last_urn``, which seeks by urn in any order."""
     rows = filtered(table, entity, wanted)
     if last_urn:
         rows = rows.filter(F.col("urn") > F.lit(last_urn))
-    return rows.orderBy(*sort_order(table, entity, sort)).limit(max(size, 0)).select("urn")
+    return cut(rows, sort_order(table, entity, sort), 0, size).select("urn")
 
 
 def list_urns_page(

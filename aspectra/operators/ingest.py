@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import formats
 from ..functions.envelopes import deletion, is_marker
 from ..functions.urns import is_valid
-from ..model import Registry
+from ..model import Entity, Registry
 
 Equality = Callable[[Column, Column], Column]
 
@@ -273,15 +273,19 @@ def create_assets(table: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataF
     return rest.unionByName(new.withColumn("deleted_ts", F.lit(None).cast("timestamp")).select(*table.columns)), rejected
 
 
-def upsert_cells(table: DataFrame, cells: DataFrame) -> DataFrame:
+def upsert_cells(table: DataFrame, cells: DataFrame, entity: Entity | None = None) -> DataFrame:
     """Wide rows after new cells (urn, column, cell, at, by); writing revives.
 
-    One pivot over named columns, one full outer join.
+    Of several cells of one place the latest counts, of equal times the
+    greatest text.  Paths that are materialised as columns follow their cells
+    where ``entity`` is given.  One aggregation over named columns, one full
+    outer join.
     """
     names = [c for c in table.columns if c.startswith(formats.ASPECT_PREFIX)]
-    wide = cells.groupBy("urn").pivot("column", names).agg(F.first("cell"))
-    stamps = cells.groupBy("urn").agg(F.max("at").alias("_at"), F.max_by("by", "at").alias("_by"))
-    new = wide.join(stamps, "urn").alias("n")
+    last = lambda c: F.max(F.when(F.col("column") == c, F.struct("at", "cell")))["cell"].alias(c)
+    stamp = F.max(F.struct("at", "by"))
+    new = cells.groupBy("urn").agg(*map(last, names), stamp["at"].alias("_at"), stamp["by"].alias("_by")).alias("n")
+    paths = entity.materialised(table.columns) if entity else {}
     joined = table.alias("t").join(new, F.col("t.urn") == F.col("n.urn"), "full_outer")
     touched = F.col("n.urn").isNotNull()
     out = []
@@ -290,6 +294,9 @@ def upsert_cells(table: DataFrame, cells: DataFrame) -> DataFrame:
             out.append(F.coalesce("t.urn", "n.urn").alias("urn"))
         elif c in names:
             out.append(F.coalesce(F.col(f"n.{c}"), F.col(f"t.{c}")).alias(c))
+        elif c in paths:
+            cell, path = paths[c]
+            out.append(F.when(F.col(f"n.{cell}").isNotNull(), F.get_json_object(f"n.{cell}", path)).otherwise(F.col(f"t.`{c}`")).alias(c))
         elif c == "deleted_ts":
             out.append(F.when(~touched, F.col("t.deleted_ts")).alias(c))
         elif c == "lastmodifiedon":
@@ -449,6 +456,12 @@ def generic_save(changes: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFra
     return apply_changes(log, decided), events
 
 
+def snapshot_events(decided: DataFrame) -> DataFrame:
+    """(urn, aspects): what was written of each urn as one snapshot."""
+    one = F.struct("aspect", "value")
+    return decided.filter("write").groupBy("urn").agg(F.array_sort(F.collect_list(one)).alias("aspects"))
+
+
 def add(registry: Registry, aspect: str, changes: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole write path of one aspect: (new log, events, dead letters).
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import formats
 from ..model import Document
 from ..plans.criteria import SearchCriterion, SearchSort
+from ..plans.pages import cut
 from ..plans.predicates import search_predicate
 
 # -- analysers ----------------------------------------------------------------
@@ -210,7 +211,7 @@ def search(
     criteria: list[SearchCriterion] = [],
     sort: SearchSort | None = None,
     start: int = 0,
-    size: int = 10,
+    size: int | None = 10,
     version: int = 1,
     preference: str | None = None,
 ) -> SearchResult:
@@ -223,7 +224,7 @@ def search(
     found = scored(df, doc, text)
     kept = found.filter(search_predicate(found, criteria, analysed=True))
     mode = "plain" if not criteria else "others" if version == 1 else "all"
-    hits = kept.orderBy(*order_of(sort)).offset(max(0, start)).limit(max(0, size))
+    hits = cut(kept, order_of(sort), start, size)
     return SearchResult(
         hits,
         facet_counts(found, doc.facets, criteria, mode),
@@ -232,10 +233,10 @@ def search(
     )
 
 
-def filter_documents(df: DataFrame, criteria: list[SearchCriterion], sort: SearchSort | None = None, start: int = 0, size: int = 10) -> DataFrame:
+def filter_documents(df: DataFrame, criteria: list[SearchCriterion], sort: SearchSort | None = None, start: int = 0, size: int | None = 10) -> DataFrame:
     """Rows by filters only; all score the same."""
     rows = df.filter(search_predicate(df, criteria)).withColumn("_score", F.lit(1.0))
-    return rows.orderBy(*order_of(sort)).offset(max(0, start)).limit(max(0, size))
+    return cut(rows, order_of(sort), start, size)
 
 
 def template_query(template: str, text: str) -> dict:

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from . import formats
 from .functions import envelopes, scalars, urns
-from .operators import aspects, browse, graph, index, ingest, search
+from .model import EdgeFields, Registry, Retention
+from .operators import aspects, browse, graph, index, ingest, search, writes
 from .plans.criteria import (
     AspectField,
     Condition,
@@ -51,8 +52,8 @@ def query(sql: str | None = None):
 
 
 REG = driver.registry()
-#: A page that holds everything.
-ALL = 2_000_000_000
+#: No page size: everything.
+ALL = None
 CUSTOMER = REG.entity("customer")
 PART, PAGE = REG.documents["PartDocument"], REG.documents["PageDocument"]
 
@@ -673,14 +674,21 @@ def gr_12_keyset_page(spark, d):
 @query(f"WITH {E} SELECT CAST(count(*) AS BIGINT) AS edges, CAST(max(id) AS BIGINT) AS last FROM e WHERE deleted IS NULL OR deleted > TIMESTAMP '1998-01-01 00:00:00'")
 def gr_12_keyset_scan(spark, d):
     """All pages of a scan, a thousand edges each."""
+    return _placed_pages(spark, d).agg(F.count(F.lit(1)).alias("edges"), F.max("id").alias("last"))
+
+
+def _placed_pages(spark, d):
     g = driver.graph(spark, d)
-    first = g.first_cursor("PlacedBy", "1998-01-01 00:00:00.000000")
-    cursor, edges, last = first, 0, 0
-    while cursor is not None:
-        rows, cursor = g.scan(cursor)
-        got = rows.agg(F.count(F.lit(1)), F.max("id")).first()
-        edges, last = edges + got[0], got[1] or last
-    return spark.createDataFrame([(edges, last)], "edges long, last long")
+    return g.scan_pages(g.first_cursor("PlacedBy", "1998-01-01 00:00:00.000000"))
+
+
+@query(
+    f"""WITH {E}, r AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 1000 AS page FROM e WHERE deleted IS NULL OR deleted > TIMESTAMP '1998-01-01 00:00:00')
+SELECT page, CAST(count(*) AS BIGINT) AS edges, max(id) AS last FROM r GROUP BY page"""
+)
+def gr_12_scan_pages(spark, d):
+    """Where each page of a scan ends."""
+    return _placed_pages(spark, d).groupBy("page").agg(F.count(F.lit(1)).alias("edges"), F.max("id").alias("last"))
 
 
 @query(f"WITH {E} SELECT id, source, status FROM e WHERE id > 0 AND id <= 9000 AND (deleted IS NULL OR deleted > TIMESTAMP '1999-01-01 00:00:00') AND status = 'F' ORDER BY id LIMIT 200")
@@ -854,6 +862,131 @@ def snk_1_upsert_cells(spark, d):
     return out.select("urn", F.col("deleted_ts").isNotNull().alias("deleted"), F.get_json_object("a_info", "$.aspect.name").alias("name"))
 
 
+@query(
+    "SELECT 'urn:li:user:' || user_id AS urn, max_by(event_id, {'a': ts, 'b': CAST(event_id AS VARCHAR)}) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1"
+)
+def snk_1_repeated_cells(spark, d):
+    """Of several cells of one place the latest wins."""
+    rows = driver.changes(spark, d).filter("aspect = 'click'")
+    cells = rows.select("urn", F.lit("a_click").alias("column"), F.col("event_id").cast("string").alias("cell"), F.col("createdon").alias("at"), F.lit("x").alias("by"))
+    none = spark.createDataFrame([], "urn string, a_click string, deleted_ts timestamp, lastmodifiedon timestamp, lastmodifiedby string")
+    return ingest.upsert_cells(none, cells).select("urn", F.col("a_click").cast("long").alias("event_id"))
+
+
+# -- the write path -------------------------------------------------------------
+
+NOW = "2024-03-01"
+
+
+def _customer_log(spark, d):
+    """The log of the customers' two aspects, as their table has them."""
+    t = driver.customers(spark, d)
+    one = lambda name, c: t.select(
+        "urn", F.lit(name).alias("aspect"), F.lit(0).cast("long").alias("version"),
+        F.coalesce(envelopes.unwrap(F.col(c)), F.col(c)).alias("metadata"),
+        F.col("lastmodifiedon").alias("createdon"), F.col("lastmodifiedby").alias("createdby"), F.lit(None).cast("string").alias("createdfor"),
+    )
+    return one("CustomerInfo", "a_info").unionByName(one("Status", "a_status"))
+
+
+def _change(rows, aspect, value):
+    return rows.select("urn", F.lit(aspect).alias("aspect"), value.alias("value"), F.lit(NOW).cast("timestamp").alias("at"), F.lit("urn:li:corpuser:x").alias("by"))
+
+
+@query(
+    f"""WITH {C} SELECT urn, CASE WHEN k % 5 = 0 THEN 'n' || k WHEN marked THEN NULL ELSE c_name END AS name,
+CASE WHEN k % 5 = 0 THEN 'NEW' WHEN marked THEN NULL ELSE segment END AS segment, gone AND k % 5 <> 0 AS deleted FROM c"""
+)
+def wr_1_write_path(spark, d):
+    """After a write the wide table has the new value, its indexed path and no deletion."""
+    table = driver.customers(spark, d)
+    name = F.concat(F.lit("n"), F.col("key").cast("string"))
+    news = _change(table.filter("key % 5 = 0"), "CustomerInfo", F.to_json(F.struct(name.alias("name"), F.lit("NEW").alias("segment"))))
+    out = writes.write(driver.registry(), CUSTOMER, news, writes.Stored(_customer_log(spark, d), table))
+    value = F.get_json_object("a_info", "$.aspect.name").alias("name")
+    return out.live.table.select("urn", value, F.col("i_info$segment").alias("segment"), F.col("deleted_ts").isNotNull().alias("deleted"))
+
+
+@query(
+    f"""WITH {C}, s AS (SELECT * FROM c WHERE k % 4 = 0)
+SELECT urn, 'CustomerInfo' AS aspect, CASE WHEN k % 12 = 0 THEN 'rejected' WHEN k % 8 = 4 THEN 'test' ELSE 'live' END AS place FROM s
+UNION ALL SELECT urn, 'CustomerInfo', 'rejected' FROM s WHERE k % 12 = 0
+UNION ALL SELECT urn, 'Status', CASE WHEN k % 8 = 4 THEN 'test' ELSE 'same' END FROM s"""
+)
+def wr_2_batch_upsert(spark, d):
+    """Two aspects at once: repeats are rejected, equal ones not written, test mode takes the whole urn."""
+    rows = driver.customers(spark, d).filter("key % 4 = 0")
+    info = F.to_json(F.struct(F.lit("y").alias("name")))
+    news = _change(rows, "CustomerInfo", info).unionByName(_change(rows.filter("key % 12 = 0"), "CustomerInfo", info))
+    news = news.unionByName(_change(rows, "Status", envelopes.unwrap(F.col("a_status"))))
+    news = news.withColumn("test_mode", (F.col("aspect") == "Status") & (urns.id_long(F.col("urn")) % 8 == 4))
+    log = _customer_log(spark, d)
+    out = writes.write(driver.registry(), CUSTOMER, news, writes.Stored(log), writes.Stored(log.limit(0)))
+    place = F.when(F.col("write"), F.lit("live")).otherwise(F.lit("same"))
+    tested = out.test.log.filter("version = 0").select("urn", "aspect", F.lit("test").alias("place"))
+    failed = out.failed.select("urn", "aspect", F.lit("rejected").alias("place"))
+    return out.decided.select("urn", "aspect", place.alias("place")).unionByName(tested).unionByName(failed)
+
+
+@query(
+    f"""WITH {L}, n AS (SELECT urn, CAST(count(*) AS BIGINT) AS n FROM l WHERE aspect = 'click' GROUP BY urn)
+SELECT urn, aspect, version FROM l WHERE aspect <> 'click'
+UNION ALL SELECT urn, 'click', CAST(0 AS BIGINT) FROM n UNION ALL SELECT urn, 'click', n FROM n"""
+)
+def wr_9_retention_of_a_write(spark, d):
+    """A write applies its aspect's retention: the new value and one before it stay."""
+    registry = Registry()
+    registry.retention["click"] = Retention(versions=2)
+    log = _log(spark, d)
+    news = _change(log.filter("aspect = 'click' AND version = 0"), "click", F.lit('{"value":-1}'))
+    return writes.write(registry, None, news, writes.Stored(log)).live.log.select("urn", "aspect", "version")
+
+
+@query(
+    """SELECT 'urn:li:customer:' || c_custkey AS source, 'urn:li:nation:' || c_nationkey AS destination,
+c_custkey % 6 = 0 OR (c_custkey % 6 = 3 AND c_custkey % 17 <> 0) AS deleted FROM customer
+UNION ALL SELECT 'urn:li:customer:' || c_custkey, 'urn:li:nation:' || ((c_nationkey + 1) % 25), false FROM customer WHERE c_custkey % 6 = 0"""
+)
+def wr_13_edges_of_a_write(spark, d):
+    """A written aspect replaces its edges; a deleted one loses them; what is not written changes none."""
+    registry = driver.registry()
+    registry.edge_fields["CustomerInfo"] = EdgeFields("home struct<destination:string>", {"home": "LocatedIn"})
+    rows = driver.customers(spark, d).filter("key % 3 = 0").join(driver.located_in(spark, d).select(F.col("source").alias("urn"), "destination"), "urn")
+    nation = F.concat(F.lit("urn:li:nation:"), ((urns.id_long(F.col("destination")) + 1) % 25).cast("string"))
+    value = F.when(F.col("key") % 6 == 0, F.to_json(F.struct(F.struct(nation.alias("destination")).alias("home"))))
+    stored = writes.Stored(_customer_log(spark, d), None, {"LocatedIn": driver.located_in(spark, d)})
+    out = writes.write(registry, CUSTOMER, _change(rows, "CustomerInfo", value), stored)
+    return out.live.edges["LocatedIn"].select("source", "destination", F.col("deleted_ts").isNotNull().alias("deleted"))
+
+
+@query(
+    """WITH e AS (SELECT 'urn:li:order:' || o_orderkey AS source, 'urn:li:customer:' || o_custkey AS destination, o_orderstatus AS status FROM orders)
+SELECT row_number() OVER (ORDER BY source, destination) AS id, source, destination, status FROM e"""
+)
+def wr_17_edges_from_log(spark, d):
+    """A backfill of an edge table from the latest values of the log."""
+    registry = driver.registry()
+    registry.edge_fields["OrderInfo"] = EdgeFields("placedBy struct<destination:string,status:string>", {"placedBy": "PlacedBy"})
+    edges = driver.placed_by(spark, d)
+    record = F.struct("destination", F.col("metadata$status").alias("status"))
+    log = edges.select(
+        F.col("source").alias("urn"), F.lit("OrderInfo").alias("aspect"), F.lit(0).cast("long").alias("version"),
+        F.to_json(F.struct(record.alias("placedBy"))).alias("metadata"), F.col("lastmodifiedon").alias("createdon"), F.col("lastmodifiedby").alias("createdby"),
+    )
+    out = writes.edges_from_log(registry, log, {"PlacedBy": edges.limit(0)})["PlacedBy"]
+    return out.select("id", "source", "destination", F.col("metadata$status").alias("status"))
+
+
+@query(f"WITH {C} SELECT urn, CAST(2 - CAST(NOT marked AND k % 2 = 0 AS INTEGER) AS INTEGER) AS aspects FROM c WHERE k % 7 = 0")
+def snk_3_snapshots(spark, d):
+    """What a batch wrote of each urn as one snapshot."""
+    rows = driver.customers(spark, d).filter("key % 7 = 0")
+    same = F.when(F.col("key") % 2 == 0, F.coalesce(envelopes.unwrap(F.col("a_info")), F.lit("{}"))).otherwise(F.lit("{}"))
+    news = _change(rows, "CustomerInfo", same).unionByName(_change(rows, "Status", F.lit('{"removed":7}')))
+    out = writes.write(driver.registry(), CUSTOMER, news, writes.Stored(_customer_log(spark, d)))
+    return ingest.snapshot_events(out.decided).select("urn", F.size("aspects").alias("aspects"))
+
+
 @query(f"WITH {L}, pg AS (SELECT DISTINCT urn FROM l WHERE urn > 'urn:li:user:100' AND aspect IN ('click', 'view') AND version = 0 ORDER BY urn LIMIT 20) SELECT urn, string_agg(aspect, ',' ORDER BY aspect) AS aspects FROM l JOIN pg USING (urn) WHERE version = 0 AND aspect IN ('click', 'view') GROUP BY urn")
 def wr_16_backfill(spark, d):
     events = ingest.backfill_events(_log(spark, d), ["click", "view"], "BACKFILL_ALL", "urn:li:user:100", 20)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import formats
 from .model import Document, Entity, Registry
-from .operators import aspects, browse, index, ingest, search
+from .operators import aspects, browse, index, ingest, search, writes
 from .plans.criteria import IndexFilter, IndexSort, Page, SearchCriterion, SearchSort
 
 
@@ -30,6 +30,8 @@ class EntityService:
     table: DataFrame
     log: DataFrame
     routes: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+    edges: dict[str, DataFrame] = field(default_factory=dict)
+    test: writes.Stored | None = None
 
     def _names(self, names: list[str] | None) -> list[str]:
         known = [n for n, a in self.entity.aspects.items() if not a.is_urn]
@@ -80,12 +82,36 @@ class EntityService:
     def count_aggregate(self, wanted: IndexFilter, aspect: str, path: str) -> DataFrame:
         return index.count_aggregate(self.table, self.entity, wanted, aspect, path)
 
+    def _keep(self, stored: writes.Stored) -> None:
+        self.log, self.table, self.edges = stored.log, stored.table, stored.edges
+
     def ingest(self, aspect: str, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(new log, events, dead letters); later calls see the new log."""
-        out = ingest.add(self.registry, aspect, changes, self.log)
-        self.log = out[0]
+        """(new log, events, dead letters) of changes of one aspect."""
+        out = self.ingest_many(changes)
+        return out.live.log, out.events, out.failed
+
+    def ingest_many(self, changes: DataFrame) -> writes.Outcome:
+        """Writes a batch of any aspects; later calls see what was written."""
+        stored = writes.Stored(self.log, self.table, self.edges)
+        out = writes.write(self.registry, self.entity, changes, stored, self.test)
+        self._keep(out.live)
+        self.test = out.test
         return out
 
+    def ingest_asset(self, assets: DataFrame) -> writes.Outcome:
+        """Writes assets (urn, at, by, one JSON column per aspect); null columns are not written."""
+        names = [n for n in assets.columns if n in self.entity.aspects]
+        pairs = F.array(*[F.struct(F.lit(n).alias("aspect"), F.col(n).alias("value")) for n in names])
+        rows = assets.select("urn", "at", "by", F.explode(pairs).alias("p")).select("urn", "p.aspect", "p.value", "at", "by")
+        return self.ingest_many(rows.filter(F.col("value").isNotNull()))
+
+    def delete_assets(self, urns: DataFrame, at: Column, by: Column) -> DataFrame:
+        """Deletes whole assets with their edges; gives the events."""
+        stored = writes.Stored(self.log, self.table, self.edges)
+        stored, events = writes.delete_assets(self.registry, self.entity, urns, stored, at, by)
+        self._keep(stored)
+        return events
+
     def raw_ingest(self, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
         out = ingest.raw_add(changes, self.log)
         self.log = out[0]

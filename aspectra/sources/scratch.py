@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,9 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, from ``spark.checkpoint.dir``.
 
-    Where the setting is unset (tests on one machine) a temporary folder is
-    made once per application.
+    Where the setting is unset on a local master (tests on one machine) a
+    temporary folder is made once per application; on a cluster that raises,
+    as executors would not see such a folder.
     """
     context = spark.sparkContext
     named = (
@@ -27,14 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = context.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="aspectra-")
     return _LOCAL[app]
 
 
-#: (JVM, path) of what this application has made.
-_MADE: list[tuple[object, str]] = []
+#: (JVM, Hadoop settings, path) of what this application has made.
+_MADE: list[tuple[object, object, str]] = []
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -44,16 +48,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     be used any longer then.
     """
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _MADE.append((spark._jvm, path))
+    _MADE.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
     return path
 
 
 @atexit.register
 def _clean() -> None:
-    for jvm, path in _MADE:
+    for jvm, settings, path in _MADE:
         with contextlib.suppress(Exception):  # the JVM may have gone
             where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+            where.getFileSystem(settings).delete(where, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

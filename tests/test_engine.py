@@ -392,6 +392,12 @@ def test_services(foo, spark):
     news = spark.createDataFrame([("urn:li:foo:1", "AspectFoo", '{"value":"b"}', T0, "y")], "urn string, aspect string, value string, at timestamp, by string")
     s.ingest("AspectFoo", news)
     assert s.log.count() == 2
+    assert s.get("urn:li:foo:1").first().value == '{"value":"b"}'
+    assets = spark.createDataFrame([("urn:li:foo:9", T0, "y", '{"value":"z"}')], "urn string, at timestamp, by string, AspectFoo string")
+    assert s.ingest_asset(assets).events.count() == 1 and s.get("urn:li:foo:9").first().value == '{"value":"z"}'
+    gone = spark.createDataFrame([("urn:li:foo:9",)], "urn string")
+    events = s.delete_assets(gone, F.lit(T0), F.lit("y"))
+    assert events.count() == 2 and s.get("urn:li:foo:9").count() == 0
     with pytest.raises(ValueError):
         s.get("urn:li:foo:1", ["Nothing"])
     every = Services({"foo": s})
@@ -440,7 +446,7 @@ def test_scratch_tables(spark):
 
     out = scratch.written(spark.range(3).toDF("x"), "probe")
     assert sorted(r.x for r in out.collect()) == [0, 1, 2]
-    assert scratch.shared_dir(spark) in out.inputFiles()[0] and scratch._MADE[-1][1].split("/")[-1].startswith("probe-")
+    assert scratch.shared_dir(spark) in out.inputFiles()[0] and scratch._MADE[-1][2].split("/")[-1].startswith("probe-")
     assert scratch.fresh_path(spark, "a") != scratch.fresh_path(spark, "a")
 
 
@@ -457,3 +463,49 @@ def test_scalar_functions(spark):
     assert ask(scalars.str_to_date(F.lit("no"), "%Y")) is None and ask(scalars.if_(F.lit(None).cast("boolean"), F.lit(1), F.lit(2))) == 2
     with pytest.raises(ValueError):
         scalars.date_pattern("%Q")
+
+
+def test_write_checks(spark):
+    """Lambdas, defaults, missing fields, retention by age, clearing of edges."""
+    from aspectra.model import EdgeFields, Retention
+    from aspectra.operators import writes
+
+    registry = Registry()
+    entity = Entity("foo", {"A": Aspect("a", {"/n": "int"}, required=("n",), defaults={"s": "d"}, schema="n int, s string, to struct<destination:string>")})
+    registry.lambdas["A"] = [lambda df: df.filter("urn <> 'urn:li:foo:4'")]
+    registry.retention["A"] = Retention(age=dt.timedelta(days=1))
+    registry.edge_fields["A"] = EdgeFields("to struct<destination:string>", {"to": "R"})
+    with pytest.raises(ValueError):
+        Retention()
+    log = spark.createDataFrame([("urn:li:foo:1", "A", 0, '{"n":1}', T0, "x")], "urn string, aspect string, version long, metadata string, createdon timestamp, createdby string")
+    edges = spark.createDataFrame([(5, "urn:li:foo:1", "urn:li:bar:1", "{}", None, "A"), (6, "urn:li:foo:1", "urn:li:bar:2", "{}", None, "B")], "id long, source string, destination string, metadata string, deleted_ts timestamp, aspect string")
+    table = spark.createDataFrame([("urn:li:foo:1", None, "1", None)], "urn string, a_a string, `i_a$n` string, deleted_ts timestamp")
+    later = T0 + dt.timedelta(days=9)
+    rows = [("urn:li:foo:1", "A", '{"n":2,"to":{"destination":"urn:li:bar:9"}}', later, "y"), ("urn:li:foo:2", "A", '{"s":"q"}', later, "y"),
+            ("urn:li:foo:3", "A", '{"n":3,"z":1}', later, "y"), ("urn:li:foo:4", "A", '{"n":4}', later, "y"), ("nothing", "A", "{}", later, "y"),
+            ("urn:li:foo:5", "A", '{"n":5}', later, "y"), ("urn:li:foo:5", "A", '{"n":6}', later, "y")]
+    news = spark.createDataFrame(rows, "urn string, aspect string, value string, at timestamp, by string")
+    out = writes.write(registry, entity, news, writes.Stored(log, table, {"R": edges}))
+    assert [(r.urn[-1], r.version, r.metadata) for r in out.live.log.collect()] == [("1", 0, '{"n":2,"s":"d","to":{"destination":"urn:li:bar:9"}}')]
+    got = {(r.id, r.destination, r.deleted_ts is None) for r in out.live.edges["R"].collect()}
+    assert got == {(5, "urn:li:bar:1", False), (6, "urn:li:bar:2", True), (7, "urn:li:bar:9", True)}
+    errors = sorted(r.error for r in out.failed.collect())
+    assert errors == ["aspect given twice", "aspect given twice", "malformed urn", "missing fields: n", "unknown fields: z"]
+    assert [r["i_a$n"] for r in out.live.table.collect()] == ["2"]
+    gone = news.filter("urn = 'urn:li:foo:1'").withColumn("value", F.lit(None).cast("string"))
+    after = writes.write(registry, entity, gone, out.live)
+    assert {(r.id, r.deleted_ts is None) for r in after.live.edges["R"].collect()} == {(5, False), (6, True), (7, False)}
+    assert after.events.first().changeType == "DELETE"
+
+
+def test_plans_have_no_unlimited_top_n(spark):
+    """Where no page size is asked for, rows are sorted by ranges, not gathered."""
+    import os
+
+    from aspectra import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    for name in ("flagship", "flt_8_contain", "gr_3_hop_outgoing", "gr_4_hop_incoming", "sfl_4_wildcards", "se_1_search"):
+        plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" not in plan and "CollectLimit" not in plan, name
