@@ -28,7 +28,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
     vectors = _table(spark, sf_dir, "embeddings")
-    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,18 +136,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: that it cannot finish, and are tested against brute force instead.
 _TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL
 ),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.own, a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  FROM v a JOIN v b ON a.own <> b.own
   WHERE a.vec_id % 50 = 0
 ),
 r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank"
+  SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS "rank"
   FROM s
 )
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
