@@ -29,13 +29,18 @@ go back to the batches they concern.
 4. Batches turn the answers into removed runs.
 
 A seed with more than ``HOT`` occurrences is not sent to one task: in round 2
-its windows are hashed whole, one by one, with two 64-bit hashes, and their
-earliest places found by hash range.  That is exact as well.
+its windows are hashed whole, one by one, and their earliest places found by
+hash range.  Its windows' repeats are the same, only found one by one.
+
+Equal contexts and equal windows are recognised by two 64-bit hashes, each
+salted anew in every run and always compared together: a wrong removal needs
+two texts that collide in 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -87,13 +92,13 @@ def samples(data: np.ndarray, length: int) -> np.ndarray:
     return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def mixed(rows: np.ndarray) -> np.ndarray:
+def mixed(rows: np.ndarray, salt: int = 0x243F6A8885A308D3) -> np.ndarray:
     """64-bit hashes of byte rows."""
     n, width = rows.shape
     if width % 8:
         rows = np.concatenate((rows, np.zeros((n, 8 - width % 8), np.uint8)), axis=1)
     words = np.ascontiguousarray(rows).view("<u8")
-    out = np.full(n, 0x243F6A8885A308D3, np.uint64)
+    out = np.full(n, salt, np.uint64)
     for k in range(words.shape[1]):
         out = (out ^ words[:, k]) * _MULT
         out ^= out >> np.uint64(29)
@@ -102,16 +107,54 @@ def mixed(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+class Hashes:
+    """Two salted 64-bit hashes of byte rows, of which ``bits`` each are kept."""
+
+    def __init__(self, salts: tuple[int, int], bits: tuple[int, int] = (64, 64)):
+        self.salts, self.bits = salts, bits
+
+    def __call__(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(mixed(rows, s) >> np.uint64(64 - b) for s, b in zip(self.salts, self.bits))
+
+
+def pair_unique(one: np.ndarray, two: np.ndarray):
+    """(distinct ones, distinct twos, first row of each, rows' numbers), as np.unique gives them."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return a[new], b[new], order[new], inverse
+
+
+def pair_place(one: np.ndarray, two: np.ndarray, other: np.ndarray, another: np.ndarray) -> np.ndarray:
+    """Where each pair of the second two arrays stands among the first (distinct); -1: nowhere."""
+    distinct, _, _, inverse = pair_unique(np.concatenate((one, other)), np.concatenate((two, another)))
+    place = np.full(len(distinct), -1, np.int64)
+    place[inverse[: len(one)]] = np.arange(len(one))
+    return place[inverse[len(one) :]]
+
+
 class Batch:
     """Documents laid end to end, with the sample of every window."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], length: int, keys: np.ndarray | None = None):
+    def __init__(
+        self,
+        ids: np.ndarray,
+        texts: list[bytes],
+        length: int,
+        keys: np.ndarray | None = None,
+        none: np.ndarray | None = None,
+    ):
         keys = np.zeros(len(ids), np.int64) if keys is None else keys
+        none = np.zeros(len(ids), np.int64) if none is None else none
         order = np.lexsort((keys, ids))
         if ((np.diff(ids[order]) == 0) & (np.diff(keys[order]) == 0)).any():
             # The same order in every round, whatever order the rows come in.
             order = sorted(range(len(ids)), key=lambda i: (ids[i], keys[i], texts[i]))
         self.ids, self.keys = np.asarray(ids, np.int64)[order], np.asarray(keys, np.int64)[order]
+        self.none = none[order].astype(bool)
         texts = [texts[i] for i in order]
         self.length = length
         self.sizes = np.array([len(t) for t in texts], np.int64)
@@ -290,12 +333,13 @@ def _dealt(rows: DataFrame, batches: int, parts: int) -> DataFrame:
             batch = chunk.column(1).to_numpy(zero_copy_only=False)
             texts = [t.encode("utf-8") for t in chunk.column(2).to_pylist()]
             keys = chunk.column(3).to_numpy(zero_copy_only=False)
+            none = chunk.column(4).to_numpy(zero_copy_only=False)
             sizes = np.array([len(t) for t in texts], np.int64)
             out = [
                 (
                     b,
                     len(own),
-                    ids[own].astype(np.int64).tobytes() + keys[own].astype(np.int64).tobytes(),
+                    b"".join(x[own].astype(np.int64).tobytes() for x in (ids, keys, none)),
                     sizes[own].tobytes(),
                     packer.compress(b"".join([texts[i] for i in own])),
                 )
@@ -310,7 +354,7 @@ def _dealt(rows: DataFrame, batches: int, parts: int) -> DataFrame:
 
     number = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")
     return (
-        rows.select("id", number.alias("batch"), "text", "key")
+        rows.select("id", number.alias("batch"), "text", "key", "none")
         .mapInArrow(run, "batch int, n int, ids binary, sizes binary, body binary")
         .repartition(parts, "batch")
     )
@@ -319,15 +363,16 @@ def _dealt(rows: DataFrame, batches: int, parts: int) -> DataFrame:
 def _batch_of(pdf, length: int) -> Batch:
     import zstandard
 
-    unpack, ids, keys, texts = zstandard.ZstdDecompressor(), [], [], []
+    unpack, ids, keys, none, texts = zstandard.ZstdDecompressor(), [], [], [], []
     for n, own, sizes, body in pdf[["n", "ids", "sizes", "body"]].itertuples(index=False):
         ids.append(np.frombuffer(own, np.int64, n))
         keys.append(np.frombuffer(own, np.int64, n, 8 * n))
+        none.append(np.frombuffer(own, np.int64, n, 16 * n))
         raw, at = unpack.decompress(body) if any(sizes) else b"", 0
         for size in np.frombuffer(sizes, np.int64, n).tolist():
             texts.append(raw[at : at + size])
             at += size
-    return Batch(np.concatenate(ids), texts, length, np.concatenate(keys))
+    return Batch(np.concatenate(ids), texts, length, np.concatenate(keys), np.concatenate(none))
 
 
 def _columns(bodies, kinds: list[str]) -> list[np.ndarray]:
@@ -343,18 +388,11 @@ def _body(*arrays: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def _both(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """One 64-bit key of two."""
-    out = (one * _MULT) ^ (two + _MIX)
-    out ^= out >> np.uint64(31)
-    out *= _MULT
-    return out
-
-
 class _Known:
     """What a batch knows of its samples once seeds have come back."""
 
-    def __init__(self, batch: Batch, bodies):
+    def __init__(self, batch: Batch, bodies, hashes: Hashes):
+        self.hashes = hashes
         seeds, hot = _columns(bodies, ["u8", "u8"])
         order = np.argsort(seeds)
         seeds, hot = seeds[order], hot[order].astype(bool)
@@ -366,14 +404,16 @@ class _Known:
         else:
             self.cold = self.hot = np.zeros(0, np.int64)
 
+    def context_hashes(self, batch: Batch, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, two = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+        for s in range(0, len(rows), 1 << 14):
+            part = slice(s, s + (1 << 14))
+            one[part], two[part] = self.hashes(batch.contexts(rows[part]))
+        return one, two
+
     def digests(self, batch: Batch):
-        """(key of seed and context, first row of each key, rows' keys)."""
-        keys = np.zeros(len(self.cold), np.uint64)
-        for s in range(0, len(self.cold), 1 << 14):
-            rows = self.cold[s : s + (1 << 14)]
-            keys[s : s + (1 << 14)] = _both(batch.seed[rows], mixed(batch.contexts(rows)))
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return distinct, first, inverse
+        """(hashes of the distinct contexts, first row of each, rows' numbers)."""
+        return pair_unique(*self.context_hashes(batch, self.cold))
 
     def windows(self, batch: Batch):
         """(first hash, second hash, window) of all windows of hot samples."""
@@ -385,9 +425,7 @@ class _Known:
         one, two = np.zeros(len(window), np.uint64), np.zeros(len(window), np.uint64)
         for s in range(0, len(window), 1 << 15):
             own = window[s : s + (1 << 15), None] + np.arange(batch.length)[None, :]
-            text = batch.data[own]
-            one[s : s + (1 << 15)] = mixed(text)
-            two[s : s + (1 << 15)] = mixed(text[:, ::-1])
+            one[s : s + (1 << 15)], two[s : s + (1 << 15)] = self.hashes(batch.data[own])
         return one, two, window
 
 
@@ -398,24 +436,31 @@ def removed_runs(
     text_col: str = "text",
     keep_text: bool = False,
     key_col: str | None = None,
+    hash_bits: tuple[int, int] = (64, 64),
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept][, key]) per document.
 
     ``kept`` (binary, with ``keep_text``): the bytes that stay, concatenated.
-    Null and empty texts lose nothing.  Ids must be integers and not null
-    (rows without an id are left out); rows that repeat an id are taken one
-    after the other, by ``key_col`` (an integer, unique per row, returned as
-    ``key``) or else by text.  An empty table gives an empty one.
+    Null and empty texts lose nothing.  Ids must be integers (below 2**62);
+    rows that repeat an id are taken one after the other, by ``key_col`` (an
+    integer, unique per row, returned as ``key``) or else by text.  Rows
+    without an id come after all others, in the order of a hash of their text.
+    An empty table gives an empty one.
     """
     require(docs, id_col, text_col)
     if length <= SEED:
         raise ValueError(f"length must be over {SEED}")
     spark = docs.sparkSession
+    own_id, text = docs[id_col].cast("long"), text_or_empty(text_col)
+    # Without an id: a place of their own beyond the ids, and no batch that holds them all.
+    last = F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1))
     rows = docs.select(
-        docs[id_col].cast("long").alias("id"),
-        text_or_empty(text_col).alias("text"),
+        F.coalesce(own_id, last).alias("id"),
+        text.alias("text"),
         (docs[key_col].cast("long") if key_col else F.lit(0).cast("long")).alias("key"),
-    ).filter(F.col("id").isNotNull())
+        own_id.isNull().cast("long").alias("none"),
+    )
+    hashes = Hashes((secrets.randbits(64), secrets.randbits(64)), hash_bits)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_batches = _ranges(total, max(BATCH_BYTES, min(BATCH_MOST, total // BATCHES)))
     buckets = _ranges(total // 4, BATCH_BYTES)
@@ -472,19 +517,19 @@ def removed_runs(
         if not len(left) or not len(right):
             return frame([], sent_names)
         batch = _batch_of(left, length)
-        own_known = _Known(batch, bodies(right, 0))
+        own_known = _Known(batch, bodies(right, 0), hashes)
         out = []
         if len(own_known.cold):
-            keys, first, _ = own_known.digests(batch)
+            one, two, first, _ = own_known.digests(batch)
             rows = own_known.cold[first]
             seed, doc = batch.seed[rows], batch.ids[batch.owner[rows]]
             at = batch.at[rows] - batch.base[batch.owner[rows]]
             for b, own in _groups(_bucket(seed, buckets)):
-                out.append((b, int(key[0]), 0, len(own), _body(seed[own], keys[own], doc[own], at[own])))
+                out.append((b, int(key[0]), 0, len(own), _body(seed[own], one[own], two[own], doc[own], at[own])))
         if len(own_known.hot):
             one, two, window = own_known.windows(batch)
-            _, first = np.unique(_both(one, two), return_index=True)
-            one, two, window = one[first], two[first], window[first]
+            one, two, first, _ = pair_unique(one, two)
+            window = window[first]
             owner = np.searchsorted(batch.starts, window, side="right") - 1
             doc, at = batch.ids[owner], window - batch.base[owner]
             for b, own in _groups(_bucket(one, buckets)):
@@ -498,21 +543,24 @@ def removed_runs(
             own = pdf[pdf["kind"] == kind]
             if not len(own):
                 continue
-            seed, key, doc, at = _columns(bodies(own, kind), ["u8", "u8", "i8", "i8"])
+            kinds = ["u8", "u8", "u8", "i8", "i8"] if kind == 0 else ["u8", "u8", "i8", "i8"]
+            *seed, one, two, doc, at = _columns(bodies(own, kind), kinds)
+            seed = seed[0] if seed else one
             batch = np.repeat(own["batch"].to_numpy(), own["n"].to_numpy())
-            order = np.lexsort((at, doc, key, seed))
-            seed, key, batch = seed[order], key[order], batch[order]
+            order = np.lexsort((at, doc, two, one, seed))
+            seed, one, two, batch = seed[order], one[order], two[order], batch[order]
             other_seed = np.concatenate(([True], seed[1:] != seed[:-1]))
-            new = other_seed | np.concatenate(([True], key[1:] != key[:-1]))
+            other = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+            new = other_seed | other
             late = np.flatnonzero(~new)
             for b, g in _groups(batch[late]):
-                out.append((b, 1 + kind, len(g), _body(seed[late[g]], key[late[g]])))
+                out.append((b, 1 + kind, len(g), _body(one[late[g]], two[late[g]])))
             if kind == 0:
                 number = np.cumsum(other_seed) - 1
                 several = np.bincount(number, new)[number] > 1
                 wanted = np.flatnonzero(new & several)
                 for b, g in _groups(batch[wanted]):
-                    out.append((b, 3, len(g), _body(seed[wanted[g]], key[wanted[g]])))
+                    out.append((b, 3, len(g), _body(seed[wanted[g]], one[wanted[g]], two[wanted[g]])))
         return frame(out, back_names)
 
     digests = (
@@ -526,49 +574,45 @@ def removed_runs(
     width = left_width + length
 
     def wanted_rows(batch, right):
-        """Rows of the contexts that were asked for, and their keys."""
-        seed, key = _columns(bodies(right, 3), ["u8", "u8"])
+        """Rows of the contexts that were asked for, and their hashes."""
+        seed, one, two = _columns(bodies(right, 3), ["u8", "u8", "u8"])
         rows = np.flatnonzero(np.isin(batch.seed, seed))
-        keys = np.zeros(len(rows), np.uint64)
-        for s in range(0, len(rows), 1 << 14):
-            part = rows[s : s + (1 << 14)]
-            keys[s : s + (1 << 14)] = _both(batch.seed[part], mixed(batch.contexts(part)))
-        distinct, first = np.unique(keys, return_index=True)
-        hit = np.isin(distinct, key)
-        return rows[first[hit]], distinct[hit]
+        own_one, own_two, first, _ = pair_unique(*_Known(batch, [], hashes).context_hashes(batch, rows))
+        hit = pair_place(*pair_unique(one, two)[:2], own_one, own_two) >= 0
+        return rows[first[hit]], own_one[hit], own_two[hit]
 
     def send_contexts(key, left, right):
         if not len(left) or not (right["kind"] == 3).any():
             return frame([], sent_names)
         batch = _batch_of(left, length)
-        rows, keys = wanted_rows(batch, right)
+        rows, one, two = wanted_rows(batch, right)
         seed, doc = batch.seed[rows], batch.ids[batch.owner[rows]]
         at = batch.at[rows] - batch.base[batch.owner[rows]]
         contexts = batch.contexts(rows)
         return frame(
             [
-                (b, int(key[0]), 0, len(own), _body(seed[own], keys[own], doc[own], at[own], contexts[own]))
+                (b, int(key[0]), 0, len(own), _body(seed[own], one[own], two[own], doc[own], at[own], contexts[own]))
                 for b, own in _groups(_bucket(seed, buckets))
             ],
             sent_names,
         )
 
     def answer_contexts(pdf):
-        """Marks (kind 4): key, low, high."""
-        seed, key, doc, at = _columns(bodies(pdf, 0), ["u8", "u8", "i8", "i8"])
+        """Marks (kind 4): hashes, low, high."""
+        seed, one, two, doc, at = _columns(bodies(pdf, 0), ["u8", "u8", "u8", "i8", "i8"])
         batch = np.repeat(pdf["batch"].to_numpy(), pdf["n"].to_numpy())
         contexts = np.concatenate(
             [
-                np.frombuffer(body, np.uint8, n * width, 32 * n).reshape(n, width)
+                np.frombuffer(body, np.uint8, n * width, 40 * n).reshape(n, width)
                 for n, body in bodies(pdf, 0)
             ]
         )
         order = np.lexsort((at, doc, seed))
-        seed, key, doc, at, batch = (x[order] for x in (seed, key, doc, at, batch))
+        seed, one, two, doc, at, batch = (x[order] for x in (seed, one, two, doc, at, batch))
         row, low, high = marks_of(contexts[order], seed, doc, at, length)
         return frame(
             [
-                (b, 4, len(g), _body(key[row[g]], low[g], high[g]))
+                (b, 4, len(g), _body(one[row[g]], two[row[g]], low[g], high[g]))
                 for b, g in _groups(batch[row])
             ],
             back_names,
@@ -599,28 +643,30 @@ def removed_runs(
             np.add.at(step, first, 1)
             np.add.at(step, last + length, -1)
 
-        own_known = _Known(batch, bodies(right, 0))
+        own_known = _Known(batch, bodies(right, 0), hashes)
         rows = own_known.cold
         if len(rows):
-            distinct, first, inverse = own_known.digests(batch)
+            one, two, first, inverse = own_known.digests(batch)
             # Not the earliest of the batch: all windows of the sample go.
             gone = first[inverse] != np.arange(len(rows))
-            _, late = _columns(bodies(right, 1), ["u8", "u8"])
-            gone |= np.isin(distinct, late)[inverse]
+            late = np.zeros(len(one), bool)
+            late[pair_place(one, two, *_columns(bodies(right, 1), ["u8", "u8"]))] = True
+            gone |= late[inverse]
             remove(batch.first[rows[gone]], batch.last[rows[gone]])
-            keys, low, high = _columns(bodies(right, 4), ["u8", "i8", "i8"])
-            if len(keys):
-                row = rows[first[np.searchsorted(distinct, keys)]]
+            mark_one, mark_two, low, high = _columns(bodies(right, 4), ["u8", "u8", "i8", "i8"])
+            if len(low):
+                row = rows[first[pair_place(one, two, mark_one, mark_two)]]
                 begin = np.maximum(batch.first[row], batch.at[row] - high)
                 end = np.minimum(batch.last[row], batch.at[row] - low)
                 good = begin <= end
                 remove(begin[good], end[good])
         if len(own_known.hot):
             one, two, window = own_known.windows(batch)
-            keys = _both(one, two)
-            _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            gone = first[inverse] != np.arange(len(keys))
-            gone |= np.isin(keys, _both(*_columns(bodies(right, 2), ["u8", "u8"])))
+            one, two, first, inverse = pair_unique(one, two)
+            gone = first[inverse] != np.arange(len(inverse))
+            late = np.zeros(len(one), bool)
+            late[pair_place(one, two, *_columns(bodies(right, 2), ["u8", "u8"]))] = True
+            gone |= late[inverse]
             remove(window[gone], window[gone])
         covered = np.cumsum(step[:-1], dtype=np.int32) > 0
         out = []
@@ -631,9 +677,10 @@ def removed_runs(
             if gone:
                 spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum())
                 kept = batch.data[start : start + size][~own].tobytes()
-            row = [int(batch.ids[i]), size, gone, spans, hashlib.sha256(kept).hexdigest()]
+            row = [None if batch.none[i] else int(batch.ids[i]), size, gone, spans, hashlib.sha256(kept).hexdigest()]
             out.append([*row, *[kept] * keep_text, *[int(batch.keys[i])] * bool(key_col)])
-        return frame(out, names)
+        done = frame(out, names)
+        return done.astype({"id": "Int64"})
 
     late = answers.filter(F.col("kind") < 3)
     back = known.unionByName(late).unionByName(marks)

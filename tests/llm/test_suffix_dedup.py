@@ -54,11 +54,38 @@ def test_other_lengths(spark):
 
 
 def test_empty_null_ids(spark):
-    df = spark.createDataFrame([(None, "a" * 300), (1, "a" * 300)], "doc_id long, text string")
-    assert [(r.id, r.n_removed) for r in sd.removed_runs(df).collect()] == [(1, 299)]
+    """Rows without an id get a row each, after all others."""
+    rng = random.Random(4)
+    other = "".join(rng.choice("abcdefgh") for _ in range(250))
+    rows = [(None, "a" * 300), (1, "a" * 300), (None, None), (None, other), (None, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.id, r.n_bytes, r.n_removed) for r in sd.removed_runs(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 300, 299), (None, 300, 300), (None, 0, 0), (None, 250, 0), (None, 250, 250)], key=str)
     assert sd.removed_runs(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_go_by_text(spark):
+    rng = random.Random(8)
+    own = ["".join(rng.choice("abcdefgh") for _ in range(150)) for _ in range(3)]
+    rows = [(3, own[0]), (3, own[0]), (3, own[1] + own[0]), (2, own[2]), (2, "x" + own[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.id, bytes(r.kept)) for r in sd.removed_runs(df, keep_text=True).collect())
+    order = sorted(rows)
+    want = brute([((i, n), t) for n, (i, t) in enumerate(order)], 100)
+    assert got == sorted((i, v[4]) for (i, _), v in want.items())
+
+
+@pytest.mark.parametrize("bits", [(3, 64), (64, 3)])
+def test_one_hash_may_collide(spark, monkeypatch, bits):
+    """With one hash nearly useless the results are the same: no decision rests on one."""
+    for hot in (2000, 3):
+        monkeypatch.setattr(sd, "HOT", hot)
+        rows = documents()[:90]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in sd.removed_runs(df, keep_text=True, hash_bits=bits).collect()}
+        assert got == brute(rows, 100)
+
+
 def test_interval_tree():
     """Intervals of a known array: common prefixes of sorted suffixes."""
     got = sorted(sd.intervals([3, 5, 5, 1, 4], 1))
