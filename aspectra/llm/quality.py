@@ -1,12 +1,14 @@
 """Document quality by hierarchical empirical Bayes (operator 9).
 
 A document has evidence of its own, two logistic regressions on its text (low
-quality, and toxicity), fitted on a bounded sample of labelled rows.  Hosts
-and paths of hosts have posteriors: a host's share of bad documents is shrunk
-towards the global share, and a path's towards its host's, each by a prior
-worth a number of documents that is estimated from the spread of the shares
-(method of moments).  Sparse sites so stay near the prior, and the posterior
-replaces the global prior in the document's odds.
+quality, and toxicity), fitted on a bounded sample of labelled rows.  For each
+of the two, hosts and paths of hosts have posteriors: a host's share is shrunk
+towards the global share, and a path's towards its host's.  Each level's prior
+is worth a number of documents that is estimated from the spread of the shares
+on that level beyond what chance gives (method of moments).  Sparse sites so
+stay near the prior, and the posterior replaces the global prior in the
+document's odds.  A document's own evidence is left out of the shares of its
+host and path, so it counts once.
 
 Shares are grouped aggregates over all documents.  The site table is broadcast
 only if its counted size is small.
@@ -30,8 +32,10 @@ FIT_ROWS = 12_000
 LEAST_DOCS, LEAST_SHARE = 5, 0.0015
 #: Sites up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 20_000
-#: Most that a site's posterior moves a document's log-odds.
-SITE_LIMIT = 1.0
+#: Documents that a level's prior is worth, at least and at most.
+LEAST_STRENGTH, MOST_STRENGTH = 5.0, 1000.0
+#: The two kinds of badness.
+KINDS = ("low", "toxic")
 
 #: Lengths of word beginnings that count as terms.
 BEGINNINGS = (5, 7, 8)
@@ -231,7 +235,8 @@ def fit(
     kind = docs.schema[id_col].dataType.simpleString()
     picked = spread(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")))
     # ``most`` bounds the marked rows.
-    sample = picked.join(F.broadcast(marked), "id")
+    # Rows that repeat an id count once, by their least text.
+    sample = picked.join(F.broadcast(marked), "id").groupBy("id").agg(F.min("text").alias("text"))
 
     def measure(batches):
         import pyarrow as pa
@@ -321,68 +326,105 @@ def _bad(low, toxic):
     return 1 - (1 - odds(low)) * (1 - odds(toxic))
 
 
-def site_posteriors(evidence: DataFrame, host: str, path: str) -> DataFrame:
-    """(_host, _path, n, host_posterior, path_posterior, site_shift) per path.
+def site_sums(evidence: DataFrame, host: str, path: str) -> DataFrame:
+    """(_host, _path, n, low, toxic, host_n, host_low, host_toxic), written.
 
-    ``evidence`` has _low and _toxic.  Null hosts and paths are sites of their
-    own.  Aggregates twice: documents to paths, paths to hosts.
+    Sums of the documents' own probabilities, one row per path.  ``evidence``
+    has _low and _toxic.  Null hosts and paths are sites of their own.
+    Aggregates twice: documents to paths, paths to hosts.
     """
-    grouped = (
+    chance = lambda c: F.sum(1 / (1 + F.exp(-F.col(c))))
+    paths = (
         evidence.select(
             F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"),
             F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"),
-            _bad(F.col("_low"), F.col("_toxic")).alias("bad"),
+            "_low",
+            "_toxic",
         )
         .groupBy("_host", "_path")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+        .agg(F.count(F.lit(1)).alias("n"), *(chance(f"_{k}").alias(k) for k in KINDS))
     )
     # One row a path: small beside the documents, and needed twice.
-    grouped = written(grouped, "site-sums")
-    hosts = grouped.groupBy("_host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
-    # Means and spreads of shares, one row: the prior's mean and strength.
-    world = hosts.agg(
-        F.sum("host_bad") / F.sum("host_n"),
-        F.var_pop(F.col("host_bad") / F.col("host_n")),
-        F.avg(1 / F.col("host_n")),
-    ).first()
-    m, spread, noise = (0.5, 0.0, 1.0) if world[0] is None else world
-    # Spread beyond what chance gives for shares of so many documents.
-    true_spread = max(spread - m * (1 - m) * noise, 1e-6)
-    strength = min(1000.0, max(5.0, m * (1 - m) / true_spread - 1))
-    hosts = hosts.withColumn(
-        "host_posterior", (F.lit(strength * m) + F.col("host_bad")) / (F.col("host_n") + strength)
-    )
-    paths = grouped.join(hosts, "_host").withColumn(
-        "path_posterior", (F.col("host_posterior") * strength + F.col("bad")) / (F.col("n") + strength)
-    )
-    logit = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
-    shift = F.greatest(
-        F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), logit(F.col("path_posterior")) - logit(F.lit(m)))
-    )
-    return paths.select(
-        "_host", "_path", "n", "host_posterior", "path_posterior", shift.alias("site_shift")
-    )
+    paths = written(paths, "path-sums")
+    hosts = paths.groupBy("_host").agg(*(F.sum(c).alias(f"host_{c}") for c in ("n", *KINDS)))
+    return written(paths.join(written(hosts, "host-sums"), "_host"), "site-sums")
+
+
+@dataclass(frozen=True)
+class Prior:
+    """The global share, and the documents that the priors of hosts and paths are worth."""
+
+    mean: float
+    host_strength: float
+    path_strength: float
+
+
+def strength(mean: float, spread: float, noise: float) -> float:
+    """The worth of a prior for shares of that spread, of which chance explains ``mean (1 - mean) noise``."""
+    alone = mean * (1 - mean)
+    true_spread = max(spread - alone * noise, 1e-9)
+    return min(MOST_STRENGTH, max(LEAST_STRENGTH, alone / true_spread - 1))
+
+
+def priors(sums: DataFrame) -> dict[str, Prior]:
+    """Both kinds' priors, from one row of means over hosts and over paths within hosts."""
+    hosts = sums.dropDuplicates(["_host"])
+    # Paths that are all of their host say nothing about spread within hosts.
+    within = sums.filter(F.col("n") < F.col("host_n"))
+    out = {}
+    for k in KINDS:
+        share = F.col(f"host_{k}") / F.col("host_n")
+        mean, spread, noise = hosts.agg(
+            F.sum(f"host_{k}") / F.sum("host_n"), F.var_pop(share), F.avg(1 / F.col("host_n"))
+        ).first()
+        apart, chance = within.agg(
+            F.avg(F.pow(F.col(k) / F.col("n") - share, 2)), F.avg(1 / F.col("n") - 1 / F.col("host_n"))
+        ).first()
+        mean = 0.5 if mean is None else min(1 - 1e-6, max(1e-6, mean))
+        out[k] = Prior(
+            mean,
+            strength(mean, spread or 0.0, noise or 1.0),
+            MOST_STRENGTH if apart is None else strength(mean, apart, chance),
+        )
+    return out
 
 
-def judged(docs: DataFrame, model: Model, sites: DataFrame, host: str, path: str, text_col: str = "text", keep: bool = True) -> DataFrame:
-    """``docs`` with _low, _toxic, the site's columns, _bad and _keep.
+def with_posteriors(scores: DataFrame, sums: DataFrame, host: str, path: str) -> DataFrame:
+    """``scores`` with host_low, host_toxic, path_low, path_toxic and _bad, _keep.
 
-    ``sites`` (a written table) is broadcast if it counts few rows.  A
-    document is kept unless its posterior probability of being low in quality
-    or toxic is over one half.
+    ``scores`` has _low and _toxic and may have other columns.  The posteriors
+    are of the document's sites without the document itself.  A document is
+    kept unless its posterior probability of being low in quality or toxic is
+    over one half.
     """
+    known = priors(sums)
+    names = ["_n", "_host_n", *(f"_sum_{k}" for k in KINDS), *(f"_host_sum_{k}" for k in KINDS)]
+    sites = sums.select(
+        "_host", "_path", F.col("n").alias("_n"), F.col("host_n").alias("_host_n"),
+        *(F.col(k).alias(f"_sum_{k}") for k in KINDS), *(F.col(f"host_{k}").alias(f"_host_sum_{k}") for k in KINDS),
+    )
+    # Both sides of the join are plain tables: without a broadcast a hot host can be split.
     if sites.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
-    scored = with_evidence(docs, model, text_col, keep)
-    joined = scored.join(
+    joined = scores.join(
         sites,
-        (F.coalesce(scored[host].cast("string"), F.lit("")) == sites["_host"])
-        & (F.coalesce(scored[path].cast("string"), F.lit("")) == sites["_path"]),
+        (F.coalesce(scores[host].cast("string"), F.lit("")) == sites["_host"])
+        & (F.coalesce(scores[path].cast("string"), F.lit("")) == sites["_path"]),
         "left",
     )
-    shift = F.coalesce("site_shift", F.lit(0.0))
-    bad = _bad(F.col("_low") + shift, F.col("_toxic") + shift)
-    return joined.withColumn("_bad", bad).withColumn("_keep", F.col("_bad") <= 0.5)
+    logit = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
+    shifted = {}
+    for k, prior in known.items():
+        own = 1 / (1 + F.exp(-F.col(f"_{k}")))
+        rest = lambda total: F.greatest(F.col(total) - own, F.lit(0.0))
+        up = (prior.host_strength * prior.mean + rest(f"_host_sum_{k}")) / (F.col("_host_n") - 1 + prior.host_strength)
+        joined = joined.withColumn(f"host_{k}", up)
+        at = (prior.path_strength * F.col(f"host_{k}") + rest(f"_sum_{k}")) / (F.col("_n") - 1 + prior.path_strength)
+        joined = joined.withColumn(f"path_{k}", at)
+        shifted[k] = F.col(f"_{k}") + logit(F.col(f"path_{k}")) - logit(F.lit(prior.mean))
+    joined = joined.withColumn("_bad", _bad(shifted["low"], shifted["toxic"]))
+    joined = joined.withColumns({f"_{k}": c for k, c in shifted.items()})
+    return joined.withColumn("_keep", F.col("_bad") <= 0.5).drop("_host", "_path", *names)
 
 
 def quality_posteriors(
@@ -396,9 +438,10 @@ def quality_posteriors(
     """(id, low_quality, toxic, host_posterior, path_posterior, bad, keep).
 
     Every row gets a result: null texts are judged as empty ones, null ids
-    stay null, repeated rows repeat.  An empty table gives an empty one.
-    Texts are read twice (the labelled ones, and all); scores are written
-    once and joined with the sites' posteriors.
+    stay null, repeated rows repeat (labelled ones are fitted once).  An empty
+    table gives an empty one.  Texts are read twice (the labelled ones, and
+    all); scores are written once and joined with the sites' sums.  The sites'
+    posteriors are of low quality or toxicity, without the document itself.
     """
     require(docs, id_col, text_col, host, path)
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
@@ -406,25 +449,16 @@ def quality_posteriors(
         docs[id_col].alias("id"), docs[host].alias("host"), docs[path].alias("path"), docs[text_col].alias("text")
     )
     scores = written(with_evidence(narrow, model, "text", keep=False), "scores")
-    sites = written(site_posteriors(scores, "host", "path"), "sites")
-    if sites.count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)
-    joined = scores.join(
-        sites,
-        (F.coalesce(scores["host"].cast("string"), F.lit("")) == sites["_host"])
-        & (F.coalesce(scores["path"].cast("string"), F.lit("")) == sites["_path"]),
-        "left",
-    )
-    low, toxic = F.col("_low") + F.col("site_shift"), F.col("_toxic") + F.col("site_shift")
-    bad = _bad(low, toxic)
-    return joined.select(
+    judged = with_posteriors(scores, site_sums(scores, "host", "path"), "host", "path")
+    either = lambda level: 1 - (1 - F.col(f"{level}_low")) * (1 - F.col(f"{level}_toxic"))
+    return judged.select(
         "id",
-        F.round(1 / (1 + F.exp(-low)), 6).alias("low_quality"),
-        F.round(1 / (1 + F.exp(-toxic)), 6).alias("toxic"),
-        F.round("host_posterior", 6).alias("host_posterior"),
-        F.round("path_posterior", 6).alias("path_posterior"),
-        F.round(bad, 6).alias("bad"),
-        (bad <= 0.5).alias("keep"),
+        F.round(1 / (1 + F.exp(-F.col("_low"))), 6).alias("low_quality"),
+        F.round(1 / (1 + F.exp(-F.col("_toxic"))), 6).alias("toxic"),
+        F.round(either("host"), 6).alias("host_posterior"),
+        F.round(either("path"), 6).alias("path_posterior"),
+        F.round("_bad", 6).alias("bad"),
+        F.col("_keep").alias("keep"),
     )
 
 
@@ -438,19 +472,15 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    Texts are scored twice rather than shuffled: once for the sites'
-    posteriors, once to decide.  Nulls, repeated rows and empty tables are as
-    in :func:`quality_posteriors`.
+    Texts are scored once; the rows with their scores are written and filtered
+    when the sites' sums are known.  Nulls, repeated rows and empty tables are
+    as in :func:`quality_posteriors`.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     # Numbered columns: no name of the caller's can clash with one of ours.
     names = docs.columns
     own = [f"c{i}" for i in range(len(names))]
     host, path, text = (own[names.index(c)] for c in (host, path, text_col))
-    plain = docs.toDF(*own)
-    narrow = plain.select(*dict.fromkeys([host, path, text]))
-    sites = written(
-        site_posteriors(with_evidence(narrow, model, text, keep=False), host, path), "sites"
-    )
-    kept = judged(plain, model, sites, host, path, text).filter("_keep")
+    scored = written(with_evidence(docs.toDF(*own), model, text), "scored")
+    kept = with_posteriors(scored, site_sums(scored, host, path), host, path).filter("_keep")
     return kept.select(*own).toDF(*names)

@@ -26,15 +26,58 @@ def test_regression_is_deterministic_and_separates():
     assert quality.Logistic.fit(x, np.zeros(400)).logit(x).max() < -5
 
 
-def test_sites_shrink(spark):
-    """A site with one bad document stays near the prior; a large one does not."""
-    rows = [("good", "p", -6.0)] * 500 + [("bad", "p", 6.0)] * 400 + [("tiny", "p", 6.0)] + [("good", "q", 6.0)] * 3
-    df = spark.createDataFrame(rows, "host string, path string, _low double").withColumn("_toxic", F.lit(-9.0))
-    got = {(r._host, r._path): r for r in quality.site_posteriors(df, "host", "path").collect()}
-    assert got["bad", "p"].host_posterior > 0.9 > got["tiny", "p"].host_posterior
-    assert got["good", "p"].host_posterior < 0.05
-    assert got["good", "q"].path_posterior > got["good", "q"].host_posterior
-    assert abs(got["bad", "p"].site_shift) <= quality.SITE_LIMIT
+def posteriors_by_hand(rows):
+    """Shrinkage computed again, row by row: (host, path) posteriors per kind and the decision's probability."""
+    chance = lambda x: 1 / (1 + np.exp(-x))
+    logit = lambda p: np.log(p / (1 - p))
+    out, shifted = [{} for _ in rows], []
+    for k in (2, 3):
+        own = np.array([chance(r[k]) for r in rows])
+        hosts, paths = {}, {}
+        for r, x in zip(rows, own):
+            for table, key in ((hosts, r[0]), (paths, r[:2])):
+                table.setdefault(key, []).append(x)
+        mean = own.sum() / len(own)
+        shares = np.array([np.mean(v) for v in hosts.values()])
+        spread = shares.var() - mean * (1 - mean) * np.mean([1 / len(v) for v in hosts.values()])
+        some = [(np.mean(v), np.mean(hosts[h]), len(v), len(hosts[h])) for (h, _), v in paths.items() if len(v) < len(hosts[h])]
+        within = np.mean([(a - b) ** 2 for a, b, _, _ in some]) - mean * (1 - mean) * np.mean([1 / n - 1 / m for _, _, n, m in some])
+        worth = [float(np.clip(mean * (1 - mean) / max(s, 1e-9) - 1, 5, 1000)) for s in (spread, within)]
+        logits = []
+        for r, x, o in zip(rows, own, out):
+            host, path = hosts[r[0]], paths[r[:2]]
+            up = (worth[0] * mean + sum(host) - x) / (worth[0] + len(host) - 1)
+            at = (worth[1] * up + sum(path) - x) / (worth[1] + len(path) - 1)
+            o[k] = (up, at)
+            logits.append(r[k] + logit(at) - logit(mean))
+        shifted.append(np.array(logits))
+    bad = 1 - (1 - chance(shifted[0])) * (1 - chance(shifted[1]))
+    return [(o[2][0], o[3][0], o[2][1], o[3][1], b) for o, b in zip(out, bad)]
+
+
+def test_sites_shrink_as_by_hand(spark):
+    """Every row's posteriors; a site of one document stays near the prior."""
+    rng = np.random.default_rng(6)
+    rows = [("good", "p", -6.0, -9.0)] * 500 + [("bad", "p", 6.0, -9.0)] * 400 + [("tiny", "p", 6.0, -9.0)] + [("good", "q", 6.0, -8.0)] * 3
+    rows += [(f"h{i % 17}", f"p{i % 5}", float(rng.normal(-3 + i % 17 / 4, 1)), float(rng.normal(-5 + i % 5, 1))) for i in range(700)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "host string, path string, _low double, _toxic double, i long")
+    got = quality.with_posteriors(df, quality.site_sums(df, "host", "path"), "host", "path").orderBy("i").collect()
+    want = posteriors_by_hand(rows)
+    for r, w in zip(got, want):
+        assert np.allclose((r.host_low, r.host_toxic, r.path_low, r.path_toxic, r._bad), w, atol=1e-6)
+        assert r._keep == (w[4] <= 0.5)
+    place = {r: i for i, r in enumerate(rows)}
+    bad, tiny, good = (got[place[r]] for r in (("bad", "p", 6.0, -9.0), ("tiny", "p", 6.0, -9.0), ("good", "p", -6.0, -9.0)))
+    assert bad.host_low > 0.9 > 0.7 > tiny.host_low and good.host_low < 0.05
+
+
+def test_repeated_labelled_rows(spark):
+    """An id that many rows have is fitted once."""
+    rows = [(1, "good text. It goes on, and ends.")] * 50 + [(1, "a")] + [(i, f"word{i} and more, words.") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows[50:], "doc_id long, text string")
+    assert np.allclose(quality.fit(docs, labels).low.weights, quality.fit(once, labels).low.weights)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
