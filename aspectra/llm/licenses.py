@@ -1,16 +1,19 @@
 """Licence statements by a trained paragraph classifier (operator 7).
 
-A paragraph is a line of a text.  A sparse logistic regression over word
-1- to 3-grams gives each paragraph a probability per licence family.  It is
-fitted here on the templates below with words dropped and joined to other
-text, against prose without licences: fixed sentences that use similar words,
-and a bounded sample of the corpus itself.  Scores are calibrated (Platt) on a
-held-out part, so that a paragraph whose best family stays under one half is
-of the unknown class.  A prediction is confirmed by comparing the paragraph
-with the family's templates: enough of a template's words, in order.
-
-Only n-grams of the vocabulary count, so paragraphs without any are unknown at
-the cost of a set intersection.
+A paragraph is a block of lines between blank ones; comment marks and line
+breaks do not count.  It is read in overlapping windows of words.  Sparse
+logistic regressions over word 1- to 3-grams give each window a probability
+per licence family, and one that it states a licence at all.  They are fitted
+on the templates below, on statements worded around the families' names, alone
+and in pairs, and on statements of licences outside the families, against
+sentences that use similar words.  Scores are calibrated (Platt) on a held-out
+part.  A window may state several families; one that states a licence, but no
+known family, is of the class ``unknown``.  A prediction is confirmed by
+comparing the words around with the family's templates: enough of a template's
+words, in order.
+
+Windows whose words cannot reach a probability of one half, by the sum of
+their positive weights, are passed over.
 """
 
 from __future__ import annotations
@@ -20,19 +23,21 @@ import re
 import zlib
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bounded_sample, require, spread, text_or_empty
+from .common import require, spread, text_or_empty
 
-#: Corpus paragraphs used as examples without a licence, at most.
-SAMPLE_ROWS = 2_000
 #: Share of a template's words that a paragraph must hold in order.
 CONFIRM = 0.7
-#: Words of a paragraph that are read in one piece; longer ones are windowed.
-WINDOW, STRIDE = 400, 200
+#: Words of a window, and from one window to the next.
+WINDOW, STRIDE = 60, 30
+#: The class of windows that state a licence of no known family.
+UNKNOWN = "unknown"
+#: Weight of the ridge in the regressions.
+PENALTY = 0.3
 
 #: Statements of licence families (fixed values).
 TEMPLATES = {
@@ -81,8 +86,8 @@ NAMES = {
     "apache": ("Apache License", "Apache License, Version 2.0", "Apache 2.0 license"),
     "bsd": ("BSD License", "BSD 3-Clause License", "2-clause BSD license"),
     "cc": ("CC BY 4.0", "CC BY-NC 4.0", "Creative Commons Attribution license", "CC BY-NC-SA 3.0"),
-    "gpl": ("GNU General Public License", "GNU GPL", "GPL version 3", "GNU General Public License, version 2"),
-    "lgpl": ("GNU Lesser General Public License", "GNU LGPL", "Lesser General Public License"),
+    "gpl": ("GNU General Public License", "GNU GPL", "GPL version 3", "GNU General Public License, version 2", "GNU General Public License version 3"),
+    "lgpl": ("GNU Lesser General Public License", "GNU LGPL", "Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License version 2"),
     "mit": ("MIT License", "MIT licence"),
     "mpl": ("Mozilla Public License", "MPL 2.0", "Mozilla Public License, v. 2.0"),
     "unlicense": ("Unlicense", "CC0 1.0 Universal", "public domain dedication"),
@@ -116,7 +121,21 @@ LOOKALIKES = (
     "Creative people in common rooms share without conditions.",
 )
 
+#: Names of licences outside the families (fixed values), for training only.
+OTHERS = (
+    "Zlib License", "Eclipse Public License 2.0", "Artistic License", "Boost Software License", "ISC License",
+    "European Union Public Licence", "Python Software Foundation License", "vendor license agreement",
+    "terms of a separate licence", "Example Corp Source Licence, version 1",
+)
+
+#: Frequent words that say nothing about licences (fixed values), for training only.
+FREQUENT = (
+    "the of in and to a or is for this with that be by on as it from under any you may not are use was were has have "
+    "an at its their which general public free work works version terms source 1 2 3 0"
+).split()
+
 _WORD = re.compile(r"[^\W_]+")
+_BLOCK = re.compile(r"(?:[^\n]*\S[^\n]*(?:\n|$))+")
 
 
 def words_of(text: str) -> list[str]:
@@ -134,137 +153,185 @@ def grams_of(words: list[str]) -> set[str]:
 
 @dataclass
 class Classifier:
-    """Per family: weights of n-grams, bias and Platt scale."""
+    """Per class (families, then the licence class): weights, bias and Platt scale."""
 
     families: list[str]
     vocabulary: dict[str, int]
-    weights: np.ndarray  # n-grams x families
+    weights: np.ndarray  # n-grams x classes
     bias: np.ndarray
     scale: np.ndarray
     offset: np.ndarray
 
     def __post_init__(self):
         self.singles = {g for g in self.vocabulary if " " not in g}
+        self.positive = np.maximum(self.weights, 0)
+        # Scores at which a probability is one half.
+        self.half = -self.offset / self.scale
 
-    def probabilities(self, words: list[str]) -> np.ndarray | None:
-        """Calibrated probabilities by family; None where no word is known."""
-        if self.singles.isdisjoint(words):
-            return None
+    def probabilities(self, words: list[str]) -> np.ndarray:
+        """Calibrated probabilities by class."""
         rows = [self.vocabulary[g] for g in sorted(grams_of(words)) if g in self.vocabulary]
         score = self.weights[rows].sum(axis=0) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.scale * score + self.offset, -40, 40)))
 
-    def classify(self, words: list[str]) -> tuple[str, float]:
-        """The likeliest family, or "unknown" with its probability."""
+    def classify(self, words: list[str]) -> list[tuple[str, float]]:
+        """All families of at least one half, or unknown if a licence is stated, or nothing."""
         p = self.probabilities(words)
-        if p is None:
-            return "unknown", 1.0
-        best = int(p.argmax())
-        if p[best] < 0.5:
-            return "unknown", float(1 - p[best])
-        return self.families[best], float(p[best])
-
-
-def similarity(words: list[str], family: str) -> tuple[float, int, int]:
-    """(share of a template found in order, first word, last word + 1).
-
-    The best of the family's templates; common runs of the template count.
-    """
+        found = [(f, float(x)) for f, x in zip(self.families, p) if x >= 0.5]
+        return found or ([(UNKNOWN, float(p[-1]))] if p[-1] >= 0.5 else [])
+
+    def windows(self, words: list[str]) -> list[int]:
+        """Where windows begin that can reach one half for some class."""
+        starts = list(range(0, max(1, len(words) - STRIDE), STRIDE))
+        get = self.vocabulary.get
+        one = [get(w, -1) for w in words]
+        rows, places = [], []
+        for i, k in enumerate(one):
+            if k >= 0:
+                rows.append(k)
+                places.append(i)
+                if i + 1 < len(one) and one[i + 1] >= 0:
+                    two = f"{words[i]} {words[i + 1]}"
+                    if (k := get(two, -1)) >= 0:
+                        rows.append(k)
+                        places.append(i)
+                    if i + 2 < len(one) and one[i + 2] >= 0 and (k := get(f"{two} {words[i + 2]}", -1)) >= 0:
+                        rows.append(k)
+                        places.append(i)
+        total = np.zeros((len(rows) + 1, self.positive.shape[1]))
+        np.cumsum(self.positive[rows], axis=0, out=total[1:])
+        low = np.searchsorted(places, starts)
+        high = np.searchsorted(places, np.array(starts) + WINDOW)
+        most = total[high] - total[low] + self.bias
+        return [s for s, ok in zip(starts, (most >= self.half).any(axis=1).tolist()) if ok]
+
+
+# -- templates --------------------------------------------------------------
+
+
+@lru_cache(maxsize=1)
+def _template_words() -> dict[str, list[list[str]]]:
+    return {family: [words_of(t) for t in templates] for family, templates in TEMPLATES.items()}
+
+
+def best_stretch(words: list[str], template: list[str]) -> tuple[float, int, int]:
+    """(share of the template found in order, first word, last word + 1), densest stretch."""
     best = (0.0, 0, 0)
-    for template in TEMPLATES[family]:
-        own = words_of(template)
-        blocks = [b for b in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks() if b.size]
-        if not blocks:
-            continue
-        # The densest stretch: blocks within about the template's length.
-        for i, first in enumerate(blocks):
-            last = [b for b in blocks[i:] if b.a + b.size - first.a <= 2 * len(own)]
-            if not last:
-                continue
-            share = sum(b.size for b in last) / len(own)
+    blocks = [b for b in SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks() if b.size]
+    for i, first in enumerate(blocks):
+        near = [b for b in blocks[i:] if b.a + b.size - first.a <= 2 * len(template)]
+        if near:
+            share = sum(b.size for b in near) / len(template)
             if share > best[0]:
-                best = (share, first.a, last[-1].a + last[-1].size)
+                best = (share, first.a, near[-1].a + near[-1].size)
     return best
 
 
-def _resembles(words: list[str], share: float = 0.4) -> bool:
-    """Whether a paragraph holds that much of some template in order.
+def similarity(words: list[str], family: str) -> tuple[float, int, int]:
+    """The best stretch of the family's templates."""
+    return max((best_stretch(words, t) for t in _template_words()[family]), key=lambda x: x[0])
 
-    Words in common, in any order, bound it and are counted first.
-    """
+
+def stretches(words: list[str], family: str) -> list[tuple[float, int, int]]:
+    """All disjoint stretches that confirm a family, or else the best one there is."""
+    found: list[tuple[float, int, int]] = []
     known = set(words)
-    for family, templates in TEMPLATES.items():
-        for template in templates:
-            own = words_of(template)
-            if sum(w in known for w in own) >= share * len(own):
-                if similarity(words, family)[0] >= share:
-                    return True
-                break
-    return False
+    for template in _template_words()[family]:
+        if sum(w in known for w in template) < CONFIRM * len(template):
+            continue
+        parts = [(0, len(words))]
+        while parts:
+            a, b = parts.pop()
+            share, first, last = best_stretch(words[a:b], template)
+            if share >= CONFIRM:
+                found.append((share, a + first, a + last))
+                parts += [(a, a + first), (a + last, b)]
+    kept: list[tuple[float, int, int]] = []
+    for f in sorted(found, key=lambda f: (-f[0], f[1] - f[2], f[1])):
+        if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
+            kept.append(f)
+    return sorted(kept, key=lambda f: f[1]) or [similarity(words, family)]
+
+
+# -- training -----------------------------------------------------------------
 
 
-def _examples(corpus: list[str]) -> tuple[list[list[str]], list[str]]:
-    """Training paragraphs and their families ("" for none); deterministic."""
+def _examples() -> tuple[list[list[str]], list[tuple[str, ...]]]:
+    """Training windows and their families (() for none); deterministic."""
     rng = np.random.default_rng(11)
-    plain = [words_of(t) for t in corpus]
-    plain = [w for w in plain if w and not _resembles(w[:WINDOW])]
-    texts = [words_of(t) for t in LOOKALIKES for _ in range(8)]
-    family = [""] * len(texts)
-    texts += plain
-    family += [""] * len(plain)
-    spare = plain or [words_of(t) for t in LOOKALIKES]
-    for name, templates in TEMPLATES.items():
-        framed = [f.format(n) for n in NAMES[name] for f in FRAMES]
-        for template in [*templates, *framed]:
+    plain = [words_of(t) for t in LOOKALIKES]
+    loose = sorted({w for t in plain for w in t})
+    mixtures = [[loose[int(i)] for i in rng.integers(len(loose), size=int(n))] for n in rng.integers(5, WINDOW, size=600)]
+    texts, family = [], []
+
+    def add(words, *families):
+        texts.append(words)
+        family.append(families)
+
+    for words in plain * 8 + mixtures:
+        add(words)
+    for n in rng.integers(3, WINDOW, size=800):  # prose of unknown words and frequent ones, and frequent ones alone
+        add([FREQUENT[int(i)] for i in rng.integers(len(FREQUENT), size=int(n))])
+    for _ in range(300):  # several sentences, as a window has
+        add([w for k in rng.integers(len(plain), size=4) for w in plain[int(k)]][:WINDOW])
+
+    def around(words, i):
+        spare = mixtures[int(rng.integers(len(mixtures)))][:25]
+        return [words, spare + words, words + spare][i % 3]
+
+    names = {**NAMES, UNKNOWN: OTHERS}
+    for name in names:
+        fixed = TEMPLATES.get(name, ())
+        framed = [f.format(n) for n in names[name] for f in FRAMES]
+        for template in [*fixed, *framed]:
             own = words_of(template)
-            for i in range(24 if template in templates else 9):
-                words = [w for w in own if i < 8 or rng.random() > 0.1]
-                if i % 3 == 1:
-                    words = spare[int(rng.integers(len(spare)))][:20] + words
-                if i % 3 == 2:
-                    words = words + spare[int(rng.integers(len(spare)))][:20]
-                texts.append(words)
-                family.append(name)
+            for i in range(24 if template in fixed else 9):
+                add(around([w for w in own if i < 8 or rng.random() > 0.1], i), name)
+    known = sorted(NAMES)
+    for a in known:  # two families in one statement
+        for b in known:
+            if a != b and {a, b} != {"gpl", "lgpl"}:  # the one's words are among the other's
+                for i in range(3):
+                    pair = [NAMES[k][int(rng.integers(len(NAMES[k])))] for k in (a, b)]
+                    frame = FRAMES[int(rng.integers(len(FRAMES)))]
+                    add(around(words_of(frame.format(" or the ".join(pair))), i), a, b)
     return texts, family
 
 
-def train(corpus: list[str]) -> Classifier:
-    """Fits the classifier on the templates and on corpus paragraphs.
+@lru_cache(maxsize=1)
+def train() -> Classifier:
+    """Fits the classifier on its fixed statements.
 
-    One regression per family against all else; every fourth example is held
-    out to calibrate.  Deterministic.
+    One regression per family against all else and one for any licence, on
+    lists of n-grams; every fourth example is held out to calibrate.
+    Deterministic.
     """
-    from .quality import sigmoid
+    from .quality import fit_terms, sigmoid
 
-    texts, family = _examples(corpus)
-    sets = [grams_of(w[:WINDOW]) for w in texts]
+    texts, family = _examples()
+    sets = [grams_of(w[: 2 * WINDOW]) for w in texts]
     counts: dict[str, int] = {}
     for s, f in zip(sets, family):
         if f:
             for g in s:
                 counts[g] = counts.get(g, 0) + 1
     vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 6))}
-    x = np.zeros((len(sets), len(vocabulary)))
-    for i, s in enumerate(sets):
-        x[i, [vocabulary[g] for g in s if g in vocabulary]] = 1
+    has = [sorted(vocabulary[g] for g in s if g in vocabulary) for s in sets]
     held = np.array([zlib.crc32(" ".join(w).encode()) % 4 == 0 for w in texts])
     families = sorted(TEMPLATES)
-    y = np.array([[f == name for name in families] for f in family], float)
-    w = np.zeros((x.shape[1], len(families)))
-    b = np.full(len(families), -2.0)
-    fit_x, fit_y = x[~held], y[~held]
-    for _ in range(400):  # gradient steps with a ridge
-        error = sigmoid(fit_x @ w + b) - fit_y
-        w -= 2.0 * (fit_x.T @ error / len(fit_x) + 1e-4 * w)
-        b -= 2.0 * error.mean(axis=0)
-    score = x[held] @ w + b
-    scale, offset = np.ones(len(families)), np.zeros(len(families))
-    for k in range(len(families)):
-        s, t = score[:, k], y[held][:, k]
+    classes = len(families) + 1
+    y = np.array([[*(name in f for name in families), bool(f)] for f in family], float)
+    w, b = np.zeros((len(vocabulary), classes)), np.zeros(classes)
+    fitted = [h for h, out in zip(has, held) if not out]
+    scale, offset = np.ones(classes), np.zeros(classes)
+    for k in range(classes):
+        w[:, k], b[k] = fit_terms(fitted, y[~held, k], len(vocabulary), PENALTY, rounds=15, tolerance=1e-3)
+        s = np.array([w[h, k].sum() + b[k] for h, out in zip(has, held) if out])
+        t = y[held, k]
         a, c = 1.0, 0.0
+        n1, n0 = t.sum(), len(t) - t.sum()
+        target = np.where(t > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         for _ in range(200):  # Platt's two parameters, with his smoothed targets
-            n1, n0 = t.sum(), len(t) - t.sum()
-            target = np.where(t > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
             error = sigmoid(a * s + c) - target
             a -= 0.1 * float((error * s).mean())
             c -= 0.1 * float(error.mean())
@@ -272,66 +339,70 @@ def train(corpus: list[str]) -> Classifier:
     return Classifier(families, vocabulary, w, b, scale, offset)
 
 
-def sample_paragraphs(docs: DataFrame, most: int, id_col: str, text_col: str) -> list[str]:
-    """First paragraphs of the ``most`` documents with the least id hash."""
-    lines = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")).select(
-        "id", F.substring(F.element_at(F.split("text", "\n", 2), 1), 1, 2000).alias("line")
-    )
-    rows = bounded_sample(lines, "id", most, "line").collect()
-    return [r["line"] for r in rows]
+# -- scanning -------------------------------------------------------------------
 
 
 def scan(text: str, classifier: Classifier) -> list[tuple[int, str, float, float, bool, int, int]]:
     """(paragraph, family, probability, similarity, confirmed, start, end).
 
-    start and end are character offsets in the text.  Long paragraphs are
-    read in overlapping windows; neighbouring windows of one family are one
-    finding if they meet.
+    start and end are character offsets in the text.  All disjoint statements
+    of a family are listed.  Windows of the unknown class that touch no
+    statement of a family are one finding where they overlap.
     """
-    found = []
-    base = 0
-    singles = classifier.singles
-    for number, line in enumerate(text.split("\n")):
-        low = line.lower()
-        if not singles.isdisjoint(_WORD.findall(low)):
-            spans = [m.span() for m in _WORD.finditer(low)]
-            words = [low[a:b] for a, b in spans]
-            for at in range(0, max(1, len(words) - STRIDE), STRIDE):
-                own = words[at : at + WINDOW]
-                name, p = classifier.classify(own)
-                if name == "unknown":
-                    continue
-                share, a, b = similarity(own, name)
-                if not b:
-                    continue
-                # Lower-casing may change lengths; offsets stay within the line.
-                start = base + min(spans[at + a][0], len(line))
-                end = base + min(spans[at + b - 1][1], len(line))
-                if found and found[-1][0] == number and found[-1][1] == name and start < found[-1][6]:
+    out = []
+    for number, block in enumerate(_BLOCK.finditer(text)):
+        raw = block.group()
+        spans = [m.span() for m in _WORD.finditer(raw)]
+        words = [raw[a:b].lower() for a, b in spans]
+        if classifier.singles.isdisjoint(words):
+            continue
+        found: dict[str, list] = {}
+        other: list[list] = []
+        for at in classifier.windows(words):
+            for name, p in classifier.classify(words[at : at + WINDOW]):
+                if name == UNKNOWN:
+                    if other and at < other[-1][1]:
+                        other[-1] = [other[-1][0], at + WINDOW, max(p, other[-1][2])]
+                    else:
+                        other.append([at, at + WINDOW, p])
                     continue
-                found.append((number, name, p, share, share >= CONFIRM, start, end))
-        base += len(line) + 1
-    return found
+                first = max(0, at - WINDOW)  # a statement may begin before its window
+                for share, a, b in stretches(words[first : at + 2 * WINDOW], name):
+                    own = found.setdefault(name, [])
+                    a, b = a + first, b + first
+                    if b > a and all(b <= x or a >= y for _, _, x, y in own):
+                        own.append((p, share, a, b))
+        stated = [f for own in found.values() for f in own]
+        rows = [(name, *f) for name, own in found.items() for f in own]
+        for a, b, p in other:
+            b = min(b, len(words))
+            if all(b <= x or a >= y for _, _, x, y in stated):
+                rows.append((UNKNOWN, p, max(similarity(words[a:b], f)[0] for f in classifier.families), a, b))
+        # What no template confirms, where a surer family is stated, is that family's words.
+        surer = lambda r: any(o[1] > r[1] and r[3] < o[4] and o[3] < r[4] for o in rows)
+        rows = [r for r in rows if r[2] >= CONFIRM or not surer(r)]
+        for name, p, share, a, b in sorted(rows, key=lambda r: (r[3], r[0])):
+            start, end = block.start() + spans[a][0], block.start() + spans[b - 1][1]
+            out.append((number, name, p, share, share >= CONFIRM and name != UNKNOWN, start, end))
+    return out
 
 
 def scan_licenses(
     docs: DataFrame,
     classifier: Classifier | None = None,
-    sample: int = SAMPLE_ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(id, paragraph, family, probability, similarity, confirmed, start, end).
 
-    One row per paragraph (or window of a very long one) that states a known
-    licence; whole texts are read.  Null and empty texts give no rows,
-    repeated rows repeat, other columns are dropped.  Without a classifier one
-    is trained first, with at most ``sample`` paragraphs of ``docs``.
+    One row per licence statement: known families, confirmed or not, and
+    statements of unknown licences.  Whole texts are read.  Null and empty
+    texts give no rows, repeated rows repeat, other columns are dropped.
+    Without a classifier the one of the fixed statements is trained.
     """
     require(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    if classifier is None:
-        classifier = train(sample_paragraphs(docs, sample, id_col, text_col))
+    classifier = classifier or train()
 
     def run(batches):
         import pyarrow as pa

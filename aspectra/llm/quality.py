@@ -138,13 +138,14 @@ class Logistic:
 
 
 def fit_terms(
-    has: list[list[int]], y: np.ndarray, n_terms: int, penalty: float = 1.0, rounds: int = 60
+    has: list[list[int]], y: np.ndarray, n_terms: int, penalty: float = 1.0, rounds: int = 60, tolerance: float = 1e-10
 ) -> tuple[np.ndarray, float]:
     """(weights, bias) of a logistic regression on which terms a row has.
 
     The optimum of ``Logistic.fit(raw=True)`` on the 0/1 matrix, without it:
     rows are lists of term numbers, and Newton's steps are solved by conjugate
-    gradients, so memory grows with the listed terms only.  Deterministic.
+    gradients to a relative ``tolerance``, so memory grows with the listed
+    terms only.  Deterministic.
     """
     n = len(has)
     row = np.repeat(np.arange(n), [len(h) for h in has])
@@ -173,7 +174,7 @@ def fit_terms(
         direction, size = ahead.copy(), float(rest @ ahead)
         first = size
         for _ in range(4 * n_terms + 40):
-            if size <= 1e-20 * first or not size:
+            if size <= tolerance**2 * first or not size:
                 break
             bent = back(curve * forward(direction)) + ridge * direction
             by = size / float(direction @ bent)
@@ -184,7 +185,7 @@ def fit_terms(
             direction = ahead + size / old * direction
         most = np.abs(step).max()
         w -= step * min(1.0, 5.0 / most) if most else 0
-        if most < 1e-6:
+        if most < max(1e-6, 0.1 * tolerance):
             break
     return w[:-1], float(w[-1])
 
