@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import require, spread, text_or_empty
 
@@ -656,88 +657,116 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, f"id {kind}, n_bytes long, media binary")
 
 
+#: Columns of PCM blocks after the id.
+_PCM = "n_bytes long, media_bytes long, media_sha256 string, block int, first_sample long, pcm binary"
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(id, block, first_sample, pcm): the decoded frames of (id, media).
+    """(id, n_bytes, media_bytes, media_sha256, block, first_sample, pcm) of (id[, n_bytes], media).
 
-    ``pcm`` are unsigned 8-bit samples; ``first_sample`` is the seekable
-    offset.  Null media give no rows; broken media raise FlacError.
+    The decoded frames: ``pcm`` are unsigned 8-bit samples; ``first_sample``
+    is the seekable offset.  A file's blocks come one after the other, from
+    block 0.  Null media give no rows; broken media raise FlacError.
     """
     require(media, "id", "media")
     kind = media.schema["id"].dataType.simpleString()
+    n_bytes = F.col("n_bytes") if "n_bytes" in media.columns else F.lit(None)
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
+        names = ["id", *(c.split()[0] for c in _PCM.split(", "))]
         for batch in batches:
-            for i, data in enumerate(batch.column(1).to_pylist()):
-                if data is None:
-                    continue
-                raw, points = decode_many([data])[0], Stream(data).points
-                if not points:
-                    points = [(s, 0, min(BLOCK, len(raw) - s)) for s in range(0, len(raw), BLOCK)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column(0)[i].as_py()] * len(points), batch.column(0).type),
-                        pa.array(range(len(points)), pa.int32()),
-                        pa.array([p[0] for p in points], pa.int64()),
-                        pa.array([raw[p[0] : p[0] + p[2]] for p in points], pa.binary()),
-                    ],
-                    names=["id", "block", "first_sample", "pcm"],
-                )
+            there = [i for i, f in enumerate(batch.column(2).to_pylist()) if f is not None]
+            files = [batch.column(2)[i].as_py() for i in there]
+            sizes = batch.column(1).to_pylist()
+            for a, b in _runs([len(f) for f in files]):
+                owner, rows = [], []
+                for i, data, raw in zip(there[a:b], files[a:b], decode_many(files[a:b])):
+                    points = Stream(data).points
+                    if not points:
+                        points = [(s, 0, min(BLOCK, len(raw) - s)) for s in range(0, len(raw), BLOCK)]
+                    known = (sizes[i], len(data), hashlib.sha256(data).hexdigest())
+                    rows += [(*known, k, p[0], raw[p[0] : p[0] + p[2]]) for k, p in enumerate(points)]
+                    owner += [i] * len(points)
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(owner)), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))],
+                        names=names,
+                    )
 
-    return media.select("id", "media").mapInArrow(
-        run, f"id {kind}, block int, first_sample long, pcm binary"
-    )
+    return media.select("id", n_bytes.cast("long").alias("n_bytes"), "media").mapInArrow(run, f"id {kind}, {_PCM}")
+
+
+class Features:
+    """Digests, peak, energy and zero crossings of samples that come block after block."""
 
+    def __init__(self):
+        self.sha, self.size, self.tail = hashlib.sha256(), 0, b""
+        self.peak = self.energy = self.crossings = 0
+        self.negative: bool | None = None
 
-def feature(payload: bytes) -> str:
-    """Peak, energy and zero crossings of the samples, as one string."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"peak={int(np.abs(x).max())};energy={int((x * x).sum())};crossings={crossings}"
+    def add(self, pcm: bytes) -> None:
+        self.sha.update(pcm)
+        self.size += len(pcm)
+        self.tail = (self.tail + pcm)[-16:]
+        x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+        if not len(x):
+            return
+        below = x < 0
+        self.peak = max(self.peak, int(np.abs(x).max()))
+        self.energy += int((x * x).sum())
+        self.crossings += int((below[1:] != below[:-1]).sum()) + (self.negative not in (None, bool(below[0])))
+        self.negative = bool(below[-1])
+
+    def row(self) -> tuple[int, str, int, str]:
+        text = f"peak={self.peak};energy={self.energy};crossings={self.crossings}"
+        return self.size, self.sha.hexdigest(), zlib.crc32(self.tail), text
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads (id, n_bytes, media) back and computes digests and features."""
+    """Reads (id, n_bytes, media) back as PCM blocks and computes digests and features.
+
+    Offsets are checked: a block that does not begin where the one before it
+    ended raises FlacError.
+    """
     require(media, "id", "n_bytes", "media")
     kind = media.schema["id"].dataType.simpleString()
-    columns = {
-        "payload_bytes": "long",
-        "payload_sha256": "string",
-        "tail_crc32": "long",
-        "media_bytes": "long",
-        "media_sha256": "string",
-        "feature": "string",
-    }
+    schema = (
+        f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
+        " media_bytes long, media_sha256 string, feature string"
+    )
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            files = batch.column(2).to_pylist()
-            for a, b in _runs([len(f) for f in files]):
-                own = files[a:b]
-                out = [
-                    (
-                        len(p),
-                        hashlib.sha256(p).hexdigest(),
-                        zlib.crc32(p[-16:]),
-                        len(f),
-                        hashlib.sha256(f).hexdigest(),
-                        feature(p),
-                    )
-                    for p, f in zip(decode_many(own), own)
-                ]
-                kinds = [pa.int64() if t == "long" else pa.string() for t in columns.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(1).slice(a, b - a),
-                        *(pa.array(c, t) for c, t in zip(zip(*out), kinds)),
-                    ],
-                    names=["id", "n_bytes", *columns],
-                )
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        now = known = None
 
-    return media.select("id", "n_bytes", "media").mapInArrow(
-        run, f"id {kind}, n_bytes long, " + ", ".join(f"{k} {v}" for k, v in columns.items())
-    )
+        def done():
+            size, sha, crc, text = now.row()
+            own = (known[1], size, sha, crc, known[2], known[3], text)
+            return [known[0], *(pa.array([v], t) for v, t in zip(own, kinds))]
+
+        def joined(rows):
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*rows)], names=names)
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(1, 7)]
+            rows = []
+            for i, (n_bytes, media_bytes, sha, block, first, pcm) in enumerate(zip(*columns)):
+                if block == 0:
+                    if now is not None:
+                        rows.append(done())
+                    now, known = Features(), (batch.column(0).slice(i, 1), n_bytes, media_bytes, sha)
+                if now.size != first:
+                    raise FlacError("blocks do not follow one another")
+                now.add(pcm)
+            if rows:
+                yield joined(rows)
+        if now is not None:
+            yield joined([done()])
+
+    return pcm_blocks(media).mapInArrow(run, schema)

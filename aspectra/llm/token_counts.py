@@ -124,13 +124,25 @@ class PrefixCounter(dict):
         self.rows = RowMerger(v.merges)
         self.byte_ids = np.array(v.byte_ids, np.int32)
         self.raw = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
-        self.powers = np.array([pow(_BASE, i, 1 << 64) for i in range(ROW_BYTES + 1)], np.uint64)
         self.by_hash, self.pairs = IntTable(18), IntTable(18)
         short = [t for t in self.tokens if len(t) <= ROW_BYTES]
         whole, lengths = self._padded(short)
-        hashes = self._hashes(whole)[np.arange(len(short)), lengths]
+        self.base = _BASE
+        while True:  # a base for which no two tokens have one hash
+            hashes = self._hashes(whole)[np.arange(len(short)), lengths] ^ lengths.astype(np.uint64)
+            if len(np.unique(hashes)) == len(short):
+                break
+            self.base += 2
+        self.powers = np.array([pow(self.base, i, 1 << 64) for i in range(ROW_BYTES + 1)], np.uint64)
         ids = np.array([self.tokens[t] for t in short], np.int32)
-        self.by_hash.add(hashes ^ lengths.astype(np.uint64), ids)
+        self.by_hash.add(hashes, ids)
+        # The tokens' bytes, to compare what is found by hash with.
+        self.token_bytes = np.zeros((len(self.raw), ROW_BYTES), np.uint8)
+        self.token_bytes[ids, : whole.shape[1]] = whole
+        self.token_size = np.zeros(len(self.raw), np.int32)
+        self.token_size[ids] = lengths
+        # The whole tables of short pieces: token counts of all prefixes, a byte each.
+        self.prefix_rows: dict[str, bytes] = {}
         self.alone = np.zeros(len(self.raw), bool)
         self.alone[ids] = self._encode_to([[i] for i in ids.tolist()])
         names = sorted(v.specials, key=len, reverse=True)
@@ -195,12 +207,11 @@ class PrefixCounter(dict):
         out[np.arange(width)[None, :] < lengths[:, None]] = np.frombuffer(b"".join(raws), np.uint8)
         return out, lengths
 
-    @staticmethod
-    def _hashes(rows: np.ndarray) -> np.ndarray:
+    def _hashes(self, rows: np.ndarray) -> np.ndarray:
         """Polynomial hashes of every prefix of every row."""
         out = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
         for i in range(rows.shape[1]):
-            out[:, i + 1] = out[:, i] * np.uint64(_BASE) + rows[:, i].astype(np.uint64) + np.uint64(1)
+            out[:, i + 1] = out[:, i] * np.uint64(self.base) + rows[:, i].astype(np.uint64) + np.uint64(1)
         return out
 
     def _encode_to(self, wanted: list[list[int]]) -> np.ndarray:
@@ -236,11 +247,12 @@ class PrefixCounter(dict):
             found = self.pairs.find(keys)
         return found > 0
 
-    def last_counts(self, raws: list[bytes]) -> np.ndarray:
-        """The last table entry of each piece of at most ROW_BYTES bytes.
+    def tables_of(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tables as rows, lengths) of pieces of at most ROW_BYTES bytes.
 
         The tables of all pieces are filled together, position by position,
-        by the same rule as in :meth:`table`.
+        by the same rule as in :meth:`table`.  Tokens are found by hash and
+        then compared byte by byte.
         """
         rows, lengths = self._padded(raws)
         hashes = self._hashes(rows)
@@ -257,18 +269,22 @@ class PrefixCounter(dict):
                 some = np.flatnonzero(token >= 0)
                 if not len(some):
                     continue
+                same = self.token_size[token[some]] == i - start
+                same &= (rows[todo[some], start:i] == self.token_bytes[token[some], : i - start]).all(axis=1)
+                some = some[same]
                 token, at = token[some], todo[some]
                 good = self.alone[token] if start == 0 else self._stable_many(last[at, start], token)
                 last[at[good], i] = token[good]
                 count[at[good], i] = count[at[good], start] + 1
                 todo = np.delete(todo, some[good])
-        return count[np.arange(n), lengths]
+        return count, lengths
 
     def learn(self, pieces: set[str]) -> None:
         """Counts of all pieces not met so far."""
         missing = [*(pieces - self.keys())]
         if len(self) + len(missing) > CACHE_ENTRIES:
             self.clear()
+            self.prefix_rows.clear()
             missing = [*pieces]
         raws = [p.encode("utf-8", "surrogatepass") for p in missing]
         size = np.fromiter(map(len, raws), np.int64, len(raws))
@@ -276,11 +292,21 @@ class PrefixCounter(dict):
             own = np.flatnonzero((size > low) & (size <= high)).tolist()
             for at in range(0, len(own), 1 << 13):
                 part = own[at : at + (1 << 13)]
-                for i, c in zip(part, self.last_counts([raws[i] for i in part]).tolist()):
-                    self[missing[i]] = c
+                tables, lengths = self.tables_of([raws[i] for i in part])
+                for i, n, row in zip(part, lengths.tolist(), tables.astype(np.uint8)):
+                    self.prefix_rows[missing[i]] = kept = row[: n + 1].tobytes()
+                    self[missing[i]] = kept[-1]
 
     def count_many(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts; unseen pieces of a slice are met together."""
+        return [n for n, _ in self.count_and_cut(texts, None)]
+
+    def count_and_cut(self, texts: list[str], budget: int | None) -> list[tuple[int, int]]:
+        """(tokens, characters of the longest prefix within ``budget``) of whole texts.
+
+        The pieces that were counted say in which unit the budget ends, and
+        the stored tables where in it: nothing is split or encoded again.
+        """
         out, at, get = [], 0, self.__getitem__
         while at < len(texts):
             end, size = at, 0
@@ -289,10 +315,44 @@ class PrefixCounter(dict):
                 end += 1
             split = [[(self.pieces(p), special) for p, special in self.segments(t)] for t in texts[at:end]]
             self.learn({p for parts in split for own, special in parts if not special for p in own})
-            out += [sum(1 if special else sum(map(get, own)) for own, special in parts) for parts in split]
+            for text, parts in zip(texts[at:end], split):
+                n = sum(1 if special else sum(map(get, own)) for own, special in parts)
+                if budget is None or n <= budget:
+                    cut = len(text)
+                elif len(parts) == 1 and not parts[0][1]:
+                    cut = self._cut_pieces(text, parts[0][0], budget)
+                else:
+                    cut = self.cut(text, budget)
+                out.append((n, cut))
             at = end
         return out
 
+    def _cut_pieces(self, text: str, pieces: list[str], budget: int) -> int:
+        """:meth:`cut` for a text without special strings, from its pieces."""
+        k = before = place = 0
+        for k, piece in enumerate(pieces):
+            if before + self[piece] > budget:
+                break
+            before += self[piece]
+            place += len(piece)
+        # Back to where the unit begins: white space, then what is none.
+        first = place
+        if not self._is_white(text[first]):
+            while first and not self._is_white(text[first - 1]):
+                first -= 1
+        while first and self._is_white(text[first - 1]):
+            first -= 1
+        while place > first:
+            k -= 1
+            before -= self[pieces[k]]
+            place -= len(pieces[k])
+        unit = self.UNITS.match(text, first)[0]
+        table = self.unit_prefixes(unit)
+        return first + max(i for i, n in enumerate(table) if n <= budget - before)
+
+    def _is_white(self, c: str) -> bool:
+        return self._LEAD.match(c).end() > 0
+
     # -- units and texts ---------------------------------------------------
 
     def __missing__(self, piece: str) -> int:
@@ -301,6 +361,7 @@ class PrefixCounter(dict):
         if len(piece) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
+                self.prefix_rows.clear()
             self[piece] = n
         return n
 
@@ -328,7 +389,8 @@ class PrefixCounter(dict):
         before = 0
         for m in self.PIECES.finditer(unit):
             piece, start = m[0], m.start()
-            counts, at = self.table(piece.encode("utf-8", "surrogatepass")), 0
+            counts = self.prefix_rows.get(piece) or self.table(piece.encode("utf-8", "surrogatepass"))
+            at = 0
             for k, c in enumerate(piece, 1):
                 at += len(c.encode("utf-8", "surrogatepass"))
                 if start + k <= lead:
@@ -455,10 +517,10 @@ def count_tokens(
         for batch in batches:
             size, total, cut = [], [], []
             texts = batch.column(1).to_pylist()
-            for text, n in zip(texts, counter.count_many(texts)):
+            for text, (n, characters) in zip(texts, counter.count_and_cut(texts, budget)):
                 size.append(len(text.encode("utf-8")))
                 total.append(n)
-                cut.append(len(text) if n <= budget else counter.cut(text, budget))
+                cut.append(characters)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -98,3 +98,32 @@ def test_columns_with_nulls_and_clashing_names(spark, word, byte):
     assert token_counts.count_tokens(nothing, BYTE).count() == 0
     decoded = bpe.decode_documents(bpe.encode_documents(frame(spark), WORD), WORD).collect()
     assert {r.text for r in decoded if r.id == 1} == {word.decode(ids, skip_special_tokens=False)}
+
+
+def test_budgets_from_stored_tables():
+    """What the counted pieces and their stored tables say is what cutting anew says."""
+    import random
+
+    rng = random.Random(12)
+    counter = token_counts.PrefixCounter(BYTE)
+    parts = ["don't", "it's", " ", "  ", "\n\n", "\t", "word", "Überzahl", "12345", "x" * 40, "…", "日本語", "a,b", "'", "' s", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(150)] + ["long " * 30_000 + "'" * 50]
+    for budget in (1, 2, 7, 33):
+        got = counter.count_and_cut(texts, budget)
+        for text, (n, cut) in zip(texts, got):
+            assert n == counter.count(text)
+            assert cut == (len(text) if n <= budget else counter.cut(text, budget)), (text, budget)
+
+
+def test_hashes_decide_nothing(monkeypatch):
+    """Strings that hash like a token, but are none, are not taken for it."""
+    import numpy as np
+
+    counter = token_counts.PrefixCounter(BYTE)
+    words = ["hello", "tokens", "zqxjk", "overflowing", "aaaa"]
+    want = [counter.count(w) for w in words]
+    other = token_counts.PrefixCounter(BYTE)
+    find = other.by_hash.find
+    fake = other.tokens[b"the"]
+    other.by_hash.find = lambda keys: np.where(find(keys) < 0, fake, find(keys)).astype(np.int32)
+    assert [n for n, _ in other.count_and_cut(words, 3)] == want
