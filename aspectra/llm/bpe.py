@@ -322,8 +322,16 @@ class WordEncoder:
         return " ".join(self.vocab.names[i] for i in ids if i in self.vocab.names)
 
 
+#: Words of more characters are forgotten after their slice.
+LONG_WORD = 64
+
+
 class WordCache(dict):
-    """word -> ``make(ids)``; starts afresh when it is full."""
+    """word -> ``make(ids)``; starts afresh when it is full.
+
+    Long words stay for their slice only, so the number of entries bounds the
+    bytes.
+    """
 
     def __init__(self, encoder: WordEncoder, make):
         super().__init__()
@@ -342,13 +350,15 @@ class WordCache(dict):
                 size += len(texts[end])
                 end += 1
             split = [self._split(t) for t in texts[at:end]]
-            self._learn(split)
+            long = self._learn(split)
             get = self.__getitem__
             for words in split:
                 if type(words) is list:
                     yield [*map(get, words)]
                 else:
                     yield [v for own, special in words for v in (map(get, own) if special is None else [self.make(np.array([special], np.int32))])]
+            for word in long:
+                del self[word]
             at = end
 
     def _split(self, text: str):
@@ -360,7 +370,8 @@ class WordCache(dict):
             for part, special in self.encoder.pieces(text)
         )
 
-    def _learn(self, split: list) -> None:
+    def _learn(self, split: list) -> list[str]:
+        """Encodes the unseen words; returns the long ones among them."""
         seen: set[str] = set()
         for words in split:
             if type(words) is list:
@@ -375,6 +386,7 @@ class WordCache(dict):
         make = self.make
         for word, ids in zip(missing, self.encoder.encode_many([w.encode("utf-8") for w in missing])):
             self[word] = make(ids)
+        return [w for w in missing if len(w) > LONG_WORD]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -127,3 +127,11 @@ def test_hashes_decide_nothing(monkeypatch):
     fake = other.tokens[b"the"]
     other.by_hash.find = lambda keys: np.where(find(keys) < 0, fake, find(keys)).astype(np.int32)
     assert [n for n, _ in other.count_and_cut(words, 3)] == want
+
+
+def test_long_words_are_forgotten(word):
+    cache = bpe.WordCache(bpe.encoder_for(WORD), list)
+    texts = ["x" * 5000 + " short", "x" * 5000, "é" * 70_000]
+    got = [[i for own in t for i in own] for t in cache.of_many(texts)]
+    assert got == [word.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, cache)) <= bpe.LONG_WORD
