@@ -48,7 +48,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts that lose nothing stay as they are.  A cut may end inside a
     character; what is left of it is dropped, so texts stay UTF-8.  Documents
     of which no character but white space is left go.  Rows that repeat an id
-    are cut each for itself.
+    are cut each for itself, in the order they are stored; rows without an id
+    come after all others.
     """
     keyed = _keyed(docs)
     runs = removed_runs(keyed, length=100, keep_text=True, key_col="_key")
