@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import formats
+from . import formats, service
 from .functions import envelopes, scalars, urns
 from .model import EdgeFields, Registry, Retention
 from .operators import aspects, browse, graph, index, ingest, search, writes
@@ -32,7 +32,7 @@ from .plans.criteria import (
     SearchSort,
     UrnField,
 )
-from .sources import driver
+from .sources import driver, scratch, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -873,6 +873,61 @@ def snk_1_repeated_cells(spark, d):
     return ingest.upsert_cells(none, cells).select("urn", F.col("a_click").cast("long").alias("event_id"))
 
 
+# -- services, seeds and streams ------------------------------------------------------
+
+
+@query(f"WITH {C} SELECT urn, CASE WHEN k % 3 = 0 THEN 'far' ELSE c_name END AS value FROM c WHERE NOT marked OR k % 3 = 0")
+def jn_9_routed(spark, d):
+    """Values of another service win where both have one."""
+    table = driver.customers(spark, d)
+    one = lambda rows, v: rows.select("urn", F.lit("CustomerInfo").alias("aspect"), v.alias("value"))
+    here = one(table.filter(envelopes.is_live(F.col("a_info"))), F.get_json_object("a_info", "$.aspect.name"))
+    return service.routed(here, one(table.filter("key % 3 = 0"), F.lit("far"))).select("urn", "value")
+
+
+@query(f"WITH {C} SELECT urn, CASE WHEN marked THEN 'Status' ELSE 'CustomerInfo,Status' END AS aspects FROM c WHERE k % 10 = 3")
+def ls_11_backfill_of_types(spark, d):
+    """Backfill over all entity types: the aspects found for each urn."""
+    table = driver.customers(spark, d)
+    own = service.EntityService(driver.registry(), CUSTOMER, table, _customer_log(spark, d))
+    found = service.Services({"customer": own}).backfill(table.filter("key % 10 = 3").select("urn"), ["CustomerInfo", "Status"])
+    return found.select("urn", F.array_join("aspects", ",").alias("aspects"))
+
+
+@query("SELECT 'urn:li:region:' || r_regionkey AS urn, r_name AS name FROM region WHERE r_regionkey <> 2")
+def src_5_seed_file(spark, d):
+    """A JSON file keyed by urn, written and read back; null values are left out."""
+    rows = spark.read.parquet(f"{d}/region.parquet")
+    value = F.when(F.col("r_regionkey") != 2, F.struct(F.col("r_name").alias("name")))
+    entry = F.struct(F.concat(F.lit("urn:li:region:"), F.col("r_regionkey").cast("string")).alias("k"), value.alias("v"))
+    path = scratch.fresh_path(spark, "seed")
+    whole = F.to_json(F.map_from_entries(F.collect_list(entry)), {"ignoreNullFields": "false"})
+    rows.agg(whole.alias("value")).write.text(path)  # the regions are five
+    return tables.read_seed(spark, path).select("urn", F.get_json_object("value", "$.name").alias("name"))
+
+
+@query(f"WITH {L} SELECT urn, aspect, v AS value FROM l WHERE version = 0")
+def streaming_log(spark, d):
+    """The events as a stream into a store: the latest value of each key."""
+    from .streaming import changes  # its schemas need a session
+
+    path = f"{d}/events.parquet"
+    # A pattern: the table may be one file, which a stream takes by pattern only.
+    every = f"{d}/events.parque[t]"
+    news = changes.event_stream(spark, every, spark.read.parquet(path).schema, files_per_batch=1_000_000).select(
+        F.concat(F.lit("urn:li:user:"), F.col("user_id").cast("string")).alias("urn"),
+        F.col("event_type").alias("aspect"),
+        F.to_json(F.struct("value")).alias("value"),
+        F.col("ts").cast("timestamp").alias("at"),
+        F.lit("urn:li:corpuser:x").alias("by"),
+        "event_id",
+    )
+    folder = scratch.fresh_path(spark, "stream")
+    changes.ingest(spark, news, folder, order=["at", "event_id"]).awaitTermination()
+    now = changes.Store(spark, folder).log(1 << 30).filter("version = 0")
+    return now.select("urn", "aspect", F.get_json_object("metadata", "$.value").cast("double").alias("value"))
+
+
 # -- the write path -------------------------------------------------------------
 
 NOW = "2024-03-01"
