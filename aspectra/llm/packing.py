@@ -9,7 +9,8 @@ pieces take slots by their rank within their length.
 
 Ranks are dealt without putting a length into one task: pieces are ranked
 within (length, salt), with about ``RUN`` pieces a salt, and the salts'
-totals give each its first rank.
+totals, summed up in two levels, give each its first rank.  A salt carries
+only those slots of the plan that its ranks fall into.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from .bpe import WordCache, encoder_for, packed
 from .common import require, spread, text_or_empty, written
 
-#: Pieces of one length that are ranked in one group, about.
-RUN = 1_000
+#: Pieces of one length that are ranked in one group, about: few beside what a partition holds.
+RUN = 100
+#: Salts whose totals are summed up together.
+SALTS = 1_000
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple]:
@@ -162,18 +165,20 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
         "salt", F.pmod(F.xxhash64(*order), F.col("salts").cast("long")).cast("int")
     )
     totals = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(
-        Window.unboundedPreceding, -1
+    firsts = written(_first_ranks(totals), "ranks").join(
+        F.broadcast(plan.select("length", "slots")), "length"
     )
-    firsts = totals.select(
-        "length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
+    reached = F.filter(
+        "slots",
+        lambda s: (s["first"] < F.col("base") + F.col("n"))
+        & (F.col("base") < s["first"] + s["number"]),
     )
+    firsts = firsts.select("length", "salt", "base", reached.alias("slots"))
     within = Window.partitionBy("length", "salt").orderBy(*order)
     ranked = (
         salted.withColumn("own_rank", F.row_number().over(within) - 1)
         .join(firsts, ["length", "salt"])
         .withColumn("place_rank", F.col("base") + F.col("own_rank"))
-        .join(F.broadcast(plan.select("length", "slots")), "length")
     )
     slot = F.element_at(
         F.filter(
@@ -193,6 +198,25 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     )
 
 
+def _first_ranks(totals: DataFrame) -> DataFrame:
+    """(length, salt, n, base): the pieces of one length with a smaller salt.
+
+    Blocks of SALTS salts are summed first, so that no group follows a length.
+    """
+    totals = totals.withColumn("block", F.floor(F.col("salt") / SALTS))
+
+    def earlier(keys: list[str], order: str):
+        window = Window.partitionBy(*keys).orderBy(order)
+        return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    blocks = totals.groupBy("length", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("length", "block", earlier(["length"], "block").alias("before"))
+    inside = totals.withColumn("inside", earlier(["length", "block"], "salt"))
+    return inside.join(blocks, ["length", "block"]).select(
+        "length", "salt", "n", (F.col("before") + F.col("inside")).alias("base")
+    )
+
+
 def pack_documents(
     docs: DataFrame,
     path: str,

@@ -80,12 +80,21 @@ def test_documents(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["cat", "sat", "mats", "ox"]) for _ in range(rng.randint(0, 90)))) for i in range(200)]
     rows += [(500, None), (501, ""), (502, "a b " * 400), (None, "x"), (3, "twice"), (3, "twice")]
-    monkeypatch.setattr(packing, "RUN", 7)
+    monkeypatch.setattr(packing, "RUN", 2)
+    monkeypatch.setattr(packing, "SALTS", 2)
     n, total = check(spark, rows, 64)
     assert n <= -(-total // 64) + 2
     check(spark, [(1, "a")], 8)
 
 
+def test_ranks_of_one_length_are_summed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 3)
+    monkeypatch.setattr(packing, "SALTS", 4)
+    df = spark.createDataFrame([(i, 5) for i in range(200)] + [(i, 3) for i in range(200, 231)], "id long, length long")
+    got = packing.pack(df, 8, ["id"]).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 231 and len({r.sequence_id for r in got}) == 200
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(df, WORD).count() == 0
