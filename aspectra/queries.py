@@ -1236,6 +1236,29 @@ def br_4_paths(spark, d):
     return browse.Browser(driver.pages(spark, d), PAGE).paths_of("urn:li:page:3")
 
 
+@query(
+    f"""WITH {G}, h AS (SELECT urn, path FROM g WHERE NOT removed),
+b AS (SELECT regexp_replace(min(path), '/[^/]*$', '') AS parent FROM h),
+e AS (SELECT count(*) AS n FROM h, b WHERE regexp_replace(path, '/[^/]*$', '') = parent),
+s AS (SELECT count(DISTINCT string_split(path, '/')[len(string_split(parent, '/')) + 1]) AS n FROM h, b
+      WHERE starts_with(path, parent || '/') AND len(string_split(path, '/')) > len(string_split(parent, '/')) + 1)
+SELECT parent AS path, s.n AS num_groups, e.n AS num_entities, s.n + e.n AS total, greatest(0, least(10, e.n - 1)) AS returned
+FROM b, e, s"""
+)
+def br_3_page(spark, d):
+    """A page of a path, from its second entity on, with the totals of groups and entities."""
+    df = driver.pages(spark, d)
+    first = df.filter(~F.col("removed")).agg(F.min(F.element_at("browsePaths", 1))).first()[0]
+    page = browse.Browser(df, PAGE).browse(first.rsplit("/", 1)[0], start=1, size=10)
+    return page.entities.agg(
+        F.lit(page.path).alias("path"),
+        F.lit(page.num_groups).cast("long").alias("num_groups"),
+        F.lit(page.num_entities).cast("long").alias("num_entities"),
+        F.lit(page.total).cast("long").alias("total"),
+        F.count(F.lit(1)).alias("returned"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
