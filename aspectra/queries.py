@@ -1236,6 +1236,17 @@ def br_4_paths(spark, d):
     return browse.Browser(driver.pages(spark, d), PAGE).paths_of("urn:li:page:3")
 
 
+@query(
+    f"""WITH {G}, s AS (SELECT 'urn:li:page:' || page_id AS urn, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages)
+SELECT string_split(path, '/')[2] AS name, count(*) AS count FROM g JOIN s USING (urn)
+WHERE NOT removed AND scheme = 'https' AND len(string_split(path, '/')) > 2 GROUP BY 1"""
+)
+def sfl_7_request_map(spark, d):
+    """Groups under the criteria of a request; a field that the document lacks is ignored."""
+    criteria = browse.request_criteria(PAGE, {"scheme": "https", "unknown": "x"})
+    return browse.groups(driver.pages(spark, d), PAGE, "/", criteria)
+
+
 @query(
     f"""WITH {G}, h AS (SELECT urn, path FROM g WHERE NOT removed),
 b AS (SELECT regexp_replace(min(path), '/[^/]*$', '') AS parent FROM h),
