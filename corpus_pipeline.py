@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import written
+from aspectra.llm.common import release, written
 from aspectra.llm.packing import pack_documents
 from aspectra.llm.quality import keep_good
 from aspectra.llm.queries import tokenizer_path
@@ -94,10 +94,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again.
+
+    What a stage wrote for itself goes once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{name}")
+            release(spark)
     return docs
