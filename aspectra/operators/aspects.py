@@ -288,10 +288,18 @@ def soft_delete_assets(
 
 
 def compare_layouts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows that only one of two layouts has, with the side that has them."""
-    return old.exceptAll(new).withColumn("only_in", F.lit("old")).unionByName(
-        new.exceptAll(old).withColumn("only_in", F.lit("new"))
-    )
+    """Rows that only one of two layouts has, with the side that has them.
+
+    Rows count as often as they occur.  Each side is read once: one aggregate
+    over both counts how often the old side has a row more than the new one.
+    """
+    sides = old.withColumn("_n", F.lit(1)).union(new.withColumn("_n", F.lit(-1)))
+    names = [F.col(f"`{c}`") for c in old.columns]
+    more = sides.groupBy(*names).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    side = F.when(F.col("_n") > 0, F.lit("old")).otherwise(F.lit("new")).alias("only_in")
+    # Repeats in two steps, so that no array is long.
+    parts = more.withColumn("_part", F.expr("explode(sequence(0, (abs(_n) - 1) div 10000))"))
+    return parts.withColumn("_copy", F.expr("explode(sequence(1, least(10000, abs(_n) - 10000 * _part)))")).select(*names, side)
 
 
 def shadow_read(local: DataFrame, shadow: DataFrame) -> DataFrame:

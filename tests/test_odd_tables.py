@@ -40,3 +40,25 @@ def event(n, user, value, k, kind="click"):
 @pytest.mark.parametrize("name", ["snk_3_events", "wr_18_generic_save", "wr_1_add", "wr_8_decision"])
 def test_stored_value_like_the_new_one(compare, name):
     compare(name, [event(0, 1, 9.0, 2), event(1, 1, 1.5, 1), event(2, 2, 1.5, 3), event(3, 3, 1.5, 10), event(4, 4, 7.0, 14)])
+
+
+def test_layouts_are_read_once_and_repeats_count(spark):
+    from collections import Counter
+
+    from aspectra.operators import aspects
+
+    one = [("a", None)] * 3 + [("b", 1), ("c", 2)] + [("d", 5)] * 25_001
+    two = [("a", None)] + [("b", 1)] * 2 + [("e", 3)]
+    old, new = (spark.createDataFrame(x, "urn string, `v.w` int") for x in (one, two))
+    out = aspects.compare_layouts(old, new)
+    assert out.columns == ["urn", "v.w", "only_in"]
+    want = {("a", None, "old"): 2, ("c", 2, "old"): 1, ("d", 5, "old"): 25_001, ("b", 1, "new"): 1, ("e", 3, "new"): 1}
+    assert Counter(map(tuple, out.collect())) == want
+    assert out._jdf.queryExecution().analyzed().collectLeaves().size() == 2
+
+
+def test_compared_layouts_rank_versions_once(spark, compare, tmp_path):
+    rows = [event(n, n % 3, 100.0 * n, 1) for n in range(9)]
+    compare("get_10_compare_layouts", rows)
+    plan = queries.queries()["get_10_compare_layouts"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
